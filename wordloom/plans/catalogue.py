@@ -1,19 +1,31 @@
-"""The core's queries and the SQL that they are held against."""
+"""The core's queries and the SQL that they are held against.
+
+Lexicons are made from the data: per locale, the distinct expected words, weighted by
+how rare they are.  Queries over lexicons of any size are joins; those that carry a
+lexicon to the executors (as a dictionary file is carried) check its size first.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import flatten
+from ..functions import case, text
+from ..model import Fst, Reweighting, SpellerConfig, edit_mutator, lexicon_from_words
+from ..operators import accept, evaluate, flatten, generate, rank, suggest
 
-FLAGSHIP = "p5_found"
+FLAGSHIP = "suggest_one_edit"
+#: Most entries of a lexicon that is carried to the executors.
+CARRIED_ENTRIES = 1_000_000
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+# --- nested records -----------------------------------------------------------------
+
+
 def _shredded(spark: SparkSession, sf: str) -> DataFrame:
     return flatten.shred_json(_read(spark, sf, "report_raw"), flatten.REPORT, keep=["raw_id", "report_id", "received_at"])
 
@@ -30,20 +42,425 @@ def _flat(spark: SparkSession, sf: str, ancestor: str) -> DataFrame:
 
 
 def p5_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per report."""
     return _flat(spark, sf, "")
 
 
 def p5_results(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per result, with its report."""
     return _flat(spark, sf, "results")
 
 
 def p5_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per suggestion, with its report and result."""
     return _flat(spark, sf, "results.suggestions")
 
 
 def p5_weight_details(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per suggestion with weight details, with its report, result and suggestion."""
     return _flat(spark, sf, "results.suggestions.weight_details")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_reports, p5_results, p5_suggestions, p5_weight_details)}
-ORACLES: dict[str, str] = {}
+# --- words and case -----------------------------------------------------------------
+
+
+def tokens_by_lang(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents")
+    return docs.groupBy("lang").agg(F.count("*").alias("documents"), F.sum(F.coalesce(F.size(text.words(F.col("text"))), F.lit(0))).alias("tokens"))
+
+
+def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of each document, the byte offset of the last, and the sum of all offsets."""
+    docs = _read(spark, sf, "documents").where("text is not null").select("doc_id", text.word_indices(F.col("text")).alias("w"))
+    return docs.select("doc_id", F.size("w").alias("words"), F.coalesce(F.get("w", F.size("w") - 1)["idx"], F.lit(-1)).alias("last_idx"), F.aggregate("w", F.lit(0).cast("bigint"), lambda a, x: a + x["idx"]).alias("idx_sum"))
+
+
+def word_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents").select(F.explode(text.words(F.col("text"))).alias("word"))
+    return docs.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def cursor_context(spark: SparkSession, sf: str) -> DataFrame:
+    """The words around the middle of each document."""
+    half = F.expr("length(text) div 2")
+    docs = _read(spark, sf, "documents").where("text is not null").select("doc_id", F.expr("left(text, length(text) div 2)").alias("a"), F.expr("substr(text, length(text) div 2 + 1)").alias("b"), half.alias("half"))
+    return docs.select("doc_id", text.cursor_context(F.col("a"), F.col("b")).alias("c")).select("doc_id", F.col("c.current.word").alias("word"), F.col("c.first_before.word").alias("first_before"), F.col("c.second_before.word").alias("second_before"), F.col("c.first_after.word").alias("first_after"), F.col("c.second_after.word").alias("second_after"))
+
+
+def _inputs(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "accuracy_results").where("input is not null").select("input").distinct()
+
+
+def case_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return _inputs(spark, sf).select("input", case.case_class(F.col("input")).alias("case_class"))
+
+
+def case_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every casing under which a word is looked up, and how its results are recased."""
+    return _inputs(spark, sf).select("input", case.case_mutation(F.col("input")).alias("mutation"), F.posexplode(case.case_variants(F.col("input"))).alias("ord", "variant"))
+
+
+def grapheme_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _inputs(spark, sf).select("input", F.size(text.graphemes(F.col("input"))).alias("graphemes"), F.length("input").alias("code_points"))
+
+
+# --- symbols ------------------------------------------------------------------------
+
+
+def input_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Input words as symbols of their locale's alphabet; unknown characters take its
+    unknown symbol.  (locale, input, symbols)"""
+    symbols = _read(spark, sf, "symbols")
+    letters = symbols.where("kind in ('char', 'multichar')").groupBy("locale").agg(F.map_from_entries(F.collect_list(F.struct("key", "sym"))).alias("map"))
+    unknown = symbols.where("kind = 'unknown'").groupBy("locale").agg(F.min("sym").alias("unknown"))
+    rows = _words(spark, sf).join(letters.join(unknown, "locale"), "locale")
+    return rows.select("locale", "word", F.array_join(F.transform(F.split("word", ""), lambda c: F.coalesce(F.try_element_at("map", c), F.col("unknown")).cast("string")), " ").alias("symbols"))
+
+
+def symbol_translation(spark: SparkSession, sf: str) -> DataFrame:
+    """Each locale's letters as an error model, translated to every other locale's
+    lexicon: symbols of one key are one; keys the lexicon lacks are appended to it."""
+    s = _read(spark, sf, "symbols").where("kind <> 'flag'")
+    mutator = s.where("kind in ('char', 'multichar')").select(F.col("locale").alias("mutator"), F.col("sym").alias("mutator_sym"), "key")
+    sizes = _read(spark, sf, "symbols").groupBy(F.col("locale").alias("lexicon")).agg((F.max("sym") + 1).alias("size"))
+    locales = s.select(F.col("locale").alias("lexicon")).distinct()
+    # pairs of settings tables: locales by letters, whatever the corpus
+    pairs = mutator.join(F.broadcast(locales), F.col("mutator") != F.col("lexicon")).join(sizes, "lexicon")
+    own = s.select(F.col("locale").alias("lexicon"), "key", F.col("sym").alias("lexicon_sym"))
+    joined = pairs.join(own, ["lexicon", "key"], "left")
+    missing = F.sum(F.when(F.col("lexicon_sym").isNull(), 1).otherwise(0)).over(Window.partitionBy("mutator", "lexicon").orderBy("mutator_sym"))
+    return joined.select("mutator", "lexicon", "mutator_sym", F.coalesce("lexicon_sym", F.col("size") + missing - 1).cast("bigint").alias("lexicon_sym"), F.col("lexicon_sym").isNull().alias("appended"))
+
+
+def unknown_output_domain(spark: SparkSession, sf: str) -> DataFrame:
+    """Lexicon symbols that an unknown output of another locale's error model may stand for."""
+    s = _read(spark, sf, "symbols")
+    letters = s.where("kind in ('char', 'multichar')")
+    lexicon = letters.select(F.col("locale").alias("lexicon"), "sym", "key")
+    pairs = lexicon.join(F.broadcast(s.select(F.col("locale").alias("mutator")).distinct()), F.col("mutator") != F.col("lexicon"))
+    return pairs.join(letters.select(F.col("locale").alias("mutator"), "key"), ["mutator", "key"], "left_anti").select("lexicon", "mutator", "sym", "key")
+
+
+# --- lexicons -----------------------------------------------------------------------
+
+
+def _localed(spark: SparkSession, sf: str) -> DataFrame:
+    """Results with the locale of their speller; a result sent again counts once."""
+    spellers = _read(spark, sf, "spellers").select("speller_id", "locale")
+    return evaluate.latest(_read(spark, sf, "accuracy_results"), ["result_id"], "logged_at").join(spellers, "speller_id")
+
+
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    return _localed(spark, sf).where("input <> ''").select("locale", F.col("input").alias("word")).distinct()
+
+
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
+    """(locale, word, n, weight) of the expected words."""
+    counted = _localed(spark, sf).where("expected <> ''").groupBy("locale", F.col("expected").alias("word")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("locale"))
+    del total
+    sums = counted.groupBy("locale").agg(F.sum("n").alias("total"))
+    return counted.join(sums, "locale").select("locale", "word", "n", F.round(-F.log(F.col("n") / F.col("total")), 4).alias("weight"))
+
+
+def lexicon_entries(spark: SparkSession, sf: str) -> DataFrame:
+    return _entries(spark, sf)
+
+
+def lexicon_arcs(spark: SparkSession, sf: str) -> DataFrame:
+    """Arcs of the trie of each locale's words."""
+    return accept.lexicon_arcs(_entries(spark, sf), group="locale", unit="code_point").groupBy("locale").agg(F.count("*").alias("arcs"), F.count_distinct("src").alias("sources"), F.count_distinct("symbol").alias("symbols"))
+
+
+def is_correct(spark: SparkSession, sf: str) -> DataFrame:
+    """Input words that their locale's lexicon has, as they are or recased."""
+    return accept.is_correct_by_members(_words(spark, sf), _entries(spark, sf), case.case_variants(F.col("word")), group="locale")
+
+
+def unknown_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of looked-up words per speller that the lexicon lacks."""
+    checked = is_correct(spark, sf)
+    rows = _localed(spark, sf).where("input <> ''").select("speller_id", "locale", F.col("input").alias("word"))
+    return rows.join(checked, ["locale", "word"]).groupBy("speller_id").agg(F.count("*").alias("words"), F.count(F.when(~F.col("is_correct"), 1)).alias("unknown"))
+
+
+def fst_accept(spark: SparkSession, sf: str) -> DataFrame:
+    """Input words that the walk over the lexicon's arcs accepts."""
+    entries = _entries(spark, sf)
+    arcs = accept.lexicon_arcs(entries, group="locale", unit="code_point")
+    return accept.accept_by_arcs(_words(spark, sf), arcs, entries.select("locale", F.col("word").alias("state")), group="locale", unit="code_point")
+
+
+def distances_to_final(spark: SparkSession, sf: str) -> DataFrame:
+    return accept.distances_to_final(_entries(spark, sf), group="locale")
+
+
+def carried_entries(entries: DataFrame, limit: int = CARRIED_ENTRIES) -> dict[str, dict[str, float]]:
+    """{locale: {word: weight}} of a lexicon, collected only if it has at most ``limit`` entries."""
+    n = entries.count()
+    if n > limit:
+        raise ValueError(f"{n} entries are too many to carry; use the joins (is_correct_by_members, edit_neighbours)")
+    out: dict[str, dict[str, float]] = {}
+    for r in entries.select("locale", "word", "weight").collect():
+        out.setdefault(r[0], {})[r[1]] = r[2]
+    return out
+
+
+def lexicon_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Weight of each distinct input word in its locale's lexicon, 0 if it is not there."""
+    entries = _entries(spark, sf)
+    return _words(spark, sf).join(entries.select("locale", "word", "weight"), ["locale", "word"], "left").select("locale", "word", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
+# --- corrections --------------------------------------------------------------------
+
+
+def suggest_one_edit(spark: SparkSession, sf: str) -> DataFrame:
+    """For each distinct input word the lexicon's words at most one edit away, ranked."""
+    return suggest.edit_neighbours(_words(spark, sf), _entries(spark, sf), group="locale")
+
+
+#: Weights under which the search allows one edit and no two.
+ONE_EDIT = SpellerConfig(n_best=None, max_weight=9.0, reweight=None, recase=False)
+
+
+def suggest_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The same corrections by the best-first search over lexicon and error model."""
+    words = _words(spark, sf)
+    letters: dict[str, set[str]] = {}
+    alphabet = words.select("locale", F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct()
+    for r in alphabet.collect():  # bounded by the code points of Unicode
+        letters.setdefault(r[0], set()).add(r[1])
+    spellers = {}
+    for locale, entries in carried_entries(_entries(spark, sf)).items():
+        mutator = edit_mutator(sorted(letters.get(locale, set()) | {c for w in entries for c in w}))
+        spellers[locale] = suggest.Speller(lexicon_from_words(dict.fromkeys(entries, 0.0), split=list), mutator, split=list)
+    return suggest.search_words(words, spellers, group="locale", config=ONE_EDIT)
+
+
+def _suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    """Suggestions, exact copies once."""
+    rows = _read(spark, sf, "suggestions")
+    return rows.groupBy("result_id", "rank").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("report_id", "speller_id", "value", "weight")])
+
+
+def suggestion_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """The five lightest suggestions of each result."""
+    ranked = rank.rank_suggestions(_suggestions(spark, sf).drop("rank").where("value is not null"), by=["result_id"], n_best=5)
+    return ranked.select("result_id", "rank", "value", F.col("weight").cast("double").alias("weight"))
+
+
+def suggestion_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Suggestions within a beam of 12 and a weight of 40, or that are the input but for case."""
+    inputs = evaluate.latest(_read(spark, sf, "accuracy_results"), ["result_id"], "logged_at").select("result_id", "input")
+    rows = _suggestions(spark, sf).where("value is not null").join(inputs, "result_id")
+    kept = rank.weight_limits(rows, by=["result_id"], source="input", max_weight=40.0, beam=12.0)
+    return kept.select("result_id", F.col("rank").alias("stored_rank"), "value")
+
+
+def edit_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Grapheme edit distance with swaps of input and expected word."""
+    rows = _read(spark, sf, "accuracy_results").where("input is not null and expected is not null").select("input", "expected").distinct()
+    return rows.select("input", "expected", rank.osa(F.col("input"), F.col("expected")).alias("distance"))
+
+
+def penalties(spark: SparkSession, sf: str) -> DataFrame:
+    """Penalties of the distinct (input, suggestion) pairs by where they differ."""
+    inputs = _read(spark, sf, "accuracy_results").select("result_id", "input").distinct()
+    pairs = _read(spark, sf, "suggestions").select("result_id", "value", "weight_details.mutator_weight").join(inputs, "result_id").select("input", "value", "mutator_weight").distinct()
+    return pairs.select("input", "value", "mutator_weight", rank.reweight(F.col("input"), F.col("value"), F.col("mutator_weight"), Reweighting()).alias("p")).select("input", "value", "mutator_weight", "p.*")
+
+
+#: The forms that the sample paradigm makes of a lemma.
+PARADIGM = (("+Noun+Sg", ""), ("+Noun+Pl", "t"), ("+Verb", "n"))
+
+
+def generated_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Forms of each distinct expected word, from a lexicon with a small paradigm."""
+    entries = carried_entries(_entries(spark, sf))
+    lemmas = sorted({w for ws in entries.values() for w in ws})
+    base = lexicon_from_words(dict.fromkeys(lemmas, 0.0), split=list)
+    tags = sorted({t for t, _ in PARADIGM} | {e for _, e in PARADIGM if e and e not in base.by_key})
+    keys = [*base.keys, *tags]
+    n = {k: i for i, k in reversed(list(enumerate(keys)))} | {"": 0}
+    end = max(base.states()) + 1
+    arcs = base.arc_rows() + [(s, n[t], n[e], end, 0.0) for s in base.finals for t, e in PARADIGM]
+    fst = Fst(keys, arcs, {end: 0.0})
+    words = _entries(spark, sf).select(F.col("word").alias("lemma"))
+    return generate.generate_forms(words, fst, split=list).select("lemma", "surface", "analysis")
+
+
+def without_hidden(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored suggestions that have an analysis open to suggestions; here a value is
+    hidden where its lexicon entry is rarer than one in e^8, and unknown ones go too."""
+    entries = _entries(spark, sf)
+    spellers = _read(spark, sf, "spellers").select("speller_id", "locale")
+    analyses = entries.select(F.concat("locale", F.lit(":"), "word").alias("value"), F.concat("word", F.when(F.col("weight") > 8, "+Spell/NoSugg").otherwise("+Noun")).alias("analysis"))
+    rows = _suggestions(spark, sf).join(spellers, "speller_id").withColumn("value", F.concat("locale", F.lit(":"), "value"))
+    return evaluate.without_hidden(rows, analyses).select("result_id", F.col("rank").alias("stored_rank"), "value")
+
+
+# --- evaluation ---------------------------------------------------------------------
+
+
+def _results(spark: SparkSession, sf: str) -> DataFrame:
+    """Results with the number of their suggestions."""
+    counts = _read(spark, sf, "suggestions").groupBy("result_id").agg(F.count_distinct("rank").alias("n"))
+    rows = evaluate.latest(_read(spark, sf, "accuracy_results"), ["result_id"], "logged_at").withColumn("nanos", evaluate.nanos("time"))
+    return rows.join(counts, "result_id", "left").withColumn("n_suggestions", F.coalesce("n", F.lit(0)))
+
+
+def accuracy_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.summarize(_results(spark, sf), ["report_id"])
+
+
+def classifier_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    s = evaluate.classifier_metrics(evaluate.summarize(_results(spark, sf), ["speller_id"]))
+    return s.select("speller_id", "true_positive", "false_accept", "true_negative", "false_negative", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "accuracy", "f_score")])
+
+
+def suggestion_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    s = evaluate.suggestion_metrics(_results(spark, sf), ["speller_id"])
+    return s.select("speller_id", "faults", "first", "top_five", "any", "none", "only_wrong", "with_suggestions", "suggestions", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "accuracy", "f_score")])
+
+
+def classification_counts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _results(spark, sf).withColumn("class", evaluate.classification(F.col("expected"), F.col("false_accept")))
+    return rows.groupBy("speller_id", "class").agg(F.count("*").alias("n"))
+
+
+def throughput(spark: SparkSession, sf: str) -> DataFrame:
+    s = evaluate.throughput(_results(spark, sf), ["speller_id"])
+    return s.select("speller_id", "words", "cpu_nanos", F.round("words_per_cpu_second", 6).alias("words_per_cpu_second"))
+
+
+def regression_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that one speller was asked more than once: how often the last run put the
+    expected word elsewhere than the first."""
+    rows = _results(spark, sf).where("input is not null and expected is not null")
+    key = ["speller_id", "input", "expected"]
+    ends = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min_by(F.struct("position"), "result_id").alias("a"), F.max_by(F.struct("position"), "result_id").alias("b")).where("n > 1")
+    rate = evaluate.regression_rate(ends.select(*key, "a.position"), ends.select(*key, "b.position"), key, threshold=0.5)
+    return rate.withColumn("rate", F.round("rate", 9))
+
+
+def threshold_gate(spark: SparkSession, sf: str) -> DataFrame:
+    s = evaluate.passes_threshold(evaluate.summarize(_results(spark, sf), ["report_id"]), 50.0)
+    return s.select("report_id", "total_words", "top_five", "passed")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p5_found, p5_reports, p5_results, p5_suggestions, p5_weight_details,
+        tokens_by_lang, token_offsets, word_frequencies, cursor_context, case_classes, case_variants, grapheme_counts,
+        input_symbols, symbol_translation, unknown_output_domain,
+        lexicon_entries, lexicon_arcs, is_correct, unknown_rates, fst_accept, distances_to_final, lexicon_weights,
+        suggest_one_edit, suggest_search, suggestion_ranking, suggestion_limits, edit_distances, penalties, generated_forms, without_hidden,
+        accuracy_summary, classifier_metrics, suggestion_metrics, classification_counts, throughput, regression_rate, threshold_gate,
+    )
+}
+
+
+# --- SQL ----------------------------------------------------------------------------
+
+_W = text.WORD.replace("'", "''")
+_UP, _LOW, _CASED = case.UPPER, case.LOWER, case.CASED
+_LATEST = "latest as (select * exclude rn from (select *, row_number() over (partition by result_id order by logged_at desc nulls last) rn from accuracy_results) where rn = 1)"
+_LOCALED = f"{_LATEST}, localed as (select l.*, s.locale from latest l join spellers s using (speller_id))"
+_ENTRIES = f"""{_LOCALED}, counted as (select locale, expected as word, count(*) as n from localed where expected <> '' group by all),
+entries as (select locale, word, n, round(-ln(n / sum(n) over (partition by locale)), 4) as weight from counted),
+words as (select distinct locale, input as word from localed where input <> '')"""
+_CLASS = f"""case when up + low = 0 then 'none' when low = 0 then case when up >= 2 then 'all_upper' else 'none' end when up = 0 then 'all_lower'
+when not regexp_matches(regexp_extract(w, '{_CASED}'), '{_UP}') then 'mixed' when up = 1 then 'first_upper' when low = 1 and up + low >= 4 then 'mostly_upper' else 'mixed' end"""
+# letters that are newer than the JVM's Unicode tables have no case there
+_NEW = "[\ua7c0\ua7c1\ua7cb-\ua7cd\ua7d0-\ua7dc\ua7f2-\ua7f4]"
+_CLASSED = f"select * exclude w, full_w as w, {_CLASS} as class from (select *, length(w) - length(regexp_replace(w, '{_UP}', '', 'g')) as up, length(w) - length(regexp_replace(w, '{_LOW}', '', 'g')) as low from (select * exclude w, w as full_w, regexp_replace(w, '{_NEW}', '', 'g') as w from src))"
+_RESULTS = f"{_LATEST}, counts as (select result_id, count(distinct rank) as n from suggestions group by result_id), results as (select l.*, coalesce(n, 0) as n_suggestions, l.time.secs * 1000000000 + l.time.subsec_nanos as nanos from latest l left join counts using (result_id))"
+_SUGGESTIONS = "sug as (select result_id, rank, any_value(report_id) as report_id, any_value(speller_id) as speller_id, any_value(value) as value, any_value(weight) as weight from suggestions group by result_id, rank)"
+
+
+def _summary_sql(by: str) -> str:
+    tp = "expected is not null and not false_accept"
+    return f"""ranked as (select *, count(nanos) over (partition by {by}) as timed, row_number() over (partition by {by} order by nanos nulls last) as rk from results),
+summary as (select {by}, count(*) as total_words, count(*) filter ({tp} and position = 0) as first_position, count(*) filter ({tp} and position < 5) as top_five,
+count(*) filter ({tp} and position is not null) as any_position, count(*) filter ({tp} and position is null and n_suggestions = 0) as no_suggestions,
+count(*) filter ({tp} and position is null and n_suggestions > 0) as only_wrong, count(*) filter (expected is null and false_accept) as false_accept,
+count(*) filter ({tp}) as true_positive, count(*) filter (expected is not null and false_accept) as false_negative, count(*) filter (expected is null and not false_accept) as true_negative,
+max(nanos) as slowest_lookup, min(nanos) as fastest_lookup, cast(floor(sum(nanos) / count(nanos)) as bigint) as average_time,
+cast(floor(sum(nanos) filter (rk <= ceil(timed * 95 / 100)) / count(nanos) filter (rk <= ceil(timed * 95 / 100))) as bigint) as average_time_95pc,
+avg(position + 1) as average_position_of_correct, avg(n_suggestions) filter (position is not null) as average_suggestions_for_correct from ranked group by {by})"""
+
+
+_NEIGHBOURS = """
+l as (select locale, word as w, unnest(range(1, length(word) + 1)) as i from words),
+r as (select locale, word as v, unnest(range(1, length(word) + 1)) as i from entries),
+pairs as (
+  select locale, w.word as w, e.word as v, 0.0 as weight from words w join entries e using (locale) where w.word = e.word
+  union all select l.locale, w, v, 5.0 from l join r on l.locale = r.locale and length(w) = length(v) and l.i = r.i and left(w, l.i - 1) = left(v, r.i - 1) and substr(w, l.i + 1) = substr(v, r.i + 1) where w <> v
+  union all select l.locale, w, e.word, 7.0 from l join entries e on l.locale = e.locale and left(w, i - 1) || substr(w, i + 1) = e.word
+  union all select r.locale, w.word, v, 8.0 from r join words w on w.locale = r.locale and left(v, i - 1) || substr(v, i + 1) = w.word
+), best as (select locale, w as word, v as value, min(weight)::float as weight from pairs group by all)
+"""
+
+ORACLES: dict[str, str] = {
+    "tokens_by_lang": f"select lang, count(*) as documents, sum(coalesce(len(regexp_extract_all(text, '{_W}')), 0)) as tokens from documents group by lang",
+    "word_frequencies": f"select word, count(*) as n from (select unnest(regexp_extract_all(text, '{_W}')) as word from documents) group by word",
+    "token_offsets": f"""with d as (select doc_id, regexp_extract_all(text, '{_W}') as w, regexp_split_to_array(text, '{_W}') as g from documents where text is not null),
+e as (select doc_id, len(w) as words, unnest(range(1, len(w) + 1)) as i, w, g from d),
+p as (select doc_id, i, strlen(w[i]) as n, strlen(g[i]) as gap from e),
+o as (select doc_id, i, sum(gap) over q + coalesce(sum(n) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as idx from p window q as (partition by doc_id order by i))
+select d.doc_id, len(d.w) as words, coalesce(max(idx), -1) as last_idx, coalesce(sum(idx), 0) as idx_sum from d left join o using (doc_id) group by d.doc_id, d.w""",
+    "case_classes": f"with src as (select distinct input as w from accuracy_results where input is not null) select w as input, class as case_class from ({_CLASSED})",
+    "grapheme_counts": "select distinct input, length_grapheme(input) as graphemes, length(input) as code_points from accuracy_results where input is not null",
+    "input_symbols": f"""with {_ENTRIES}, unk as (select locale, min(sym) as u from symbols where kind = 'unknown' group by locale),
+c as (select locale, word, unnest(range(1, length(word) + 1)) as i from words)
+select c.locale, word, string_agg(coalesce(s.sym, u)::varchar, ' ' order by i) as symbols from c join unk using (locale) left join symbols s on s.locale = c.locale and s.kind in ('char', 'multichar') and s.key = substr(word, i, 1) group by c.locale, word""",
+    "symbol_translation": """with sizes as (select locale as lexicon, max(sym) + 1 as size from symbols group by locale),
+p as (select m.locale as mutator, l.lexicon, m.sym as mutator_sym, m.key, size from symbols m join sizes l on m.locale <> l.lexicon where m.kind in ('char', 'multichar')),
+j as (select p.*, s.sym as own from p left join symbols s on s.locale = p.lexicon and s.key = p.key and s.kind <> 'flag')
+select mutator, lexicon, mutator_sym, coalesce(own, size + sum(case when own is null then 1 else 0 end) over (partition by mutator, lexicon order by mutator_sym) - 1)::bigint as lexicon_sym, own is null as appended from j""",
+    "unknown_output_domain": """select l.locale as lexicon, m.locale as mutator, l.sym, l.key from symbols l join (select distinct locale from symbols) m on m.locale <> l.locale
+where l.kind in ('char', 'multichar') and not exists (select 1 from symbols s where s.locale = m.locale and s.kind in ('char', 'multichar') and s.key = l.key)""",
+    "lexicon_entries": f"with {_ENTRIES} select * from entries",
+    "lexicon_arcs": f"""with {_ENTRIES}, a as (select distinct locale, left(word, i - 1) as src, substr(word, i, 1) as symbol from (select locale, word, unnest(range(1, length(word) + 1)) as i from entries))
+select locale, count(*) as arcs, count(distinct src) as sources, count(distinct symbol) as symbols from a group by locale""",
+    "fst_accept": f"with {_ENTRIES} select locale, word from words where exists (select 1 from entries e where e.locale = words.locale and e.word = words.word)",
+    "distances_to_final": f"with {_ENTRIES}, p as (select locale, word, weight, unnest(range(0, length(word) + 1)) as i from entries) select locale, left(word, i) as state, min(weight) as distance from p group by all",
+    "lexicon_weights": f"with {_ENTRIES} select locale, word, coalesce(weight, 0) as weight from words left join entries using (locale, word)",
+    "suggest_one_edit": f"with {_ENTRIES}, {_NEIGHBOURS} select locale, word, value, weight, row_number() over (partition by locale, word order by weight, value) as rank from best",
+    "suggest_search": f"with {_ENTRIES}, {_NEIGHBOURS} select locale, word, value, weight from best",
+    "suggestion_ranking": f"with {_SUGGESTIONS} select result_id, rk as rank, value, weight::double as weight from (select result_id, value, weight, row_number() over (partition by result_id order by weight, value) as rk from sug where value is not null) where rk <= 5",
+    "suggestion_limits": f"""with {_LATEST}, {_SUGGESTIONS}, j as (select sug.*, input, min(weight) over (partition by result_id) as best from sug join latest using (result_id) where value is not null)
+select result_id, rank as stored_rank, value from j where (weight <= best + 12::float and weight <= 40) or lower(value) = lower(input)""",
+    "generated_forms": f"with {_ENTRIES}, p(analysis, ending) as (values {', '.join(repr(x) for x in PARADIGM)}) select distinct word as lemma, word || ending as surface, analysis from entries, p",
+    "without_hidden": f"with {_ENTRIES}, {_SUGGESTIONS} select result_id, rank as stored_rank, s.locale || ':' || value as value from sug join spellers s using (speller_id) where exists (select 1 from entries e where e.locale = s.locale and e.word = sug.value and e.weight <= 8)",
+    "accuracy_summary": f"with {_RESULTS}, {_summary_sql('report_id')} select * from summary",
+    "threshold_gate": f"with {_RESULTS}, {_summary_sql('report_id')} select report_id, total_words, top_five, top_five * 100.0 / total_words > 50 as passed from summary",
+    "classifier_metrics": f"""with {_RESULTS}, {_summary_sql('speller_id')}, m as (select speller_id, true_positive, false_accept, true_negative, false_negative,
+true_positive / nullif(true_positive + false_accept, 0) as p, true_positive / nullif(true_positive + false_negative, 0) as r, (true_positive + true_negative) / nullif(true_positive + true_negative + false_accept + false_negative, 0) as a from summary)
+select speller_id, true_positive, false_accept, true_negative, false_negative, round(p, 9) as precision, round(r, 9) as recall, round(a, 9) as accuracy, round(2 * p * r / nullif(p + r, 0), 9) as f_score from m""",
+    "suggestion_metrics": f"""with {_RESULTS}, m as (select speller_id, count(*) as faults, count(*) filter (position = 0) as first, count(*) filter (position < 5) as top_five, count(position) as "any",
+count(*) filter (position is null and n_suggestions = 0) as none, count(*) filter (position is null and n_suggestions > 0) as only_wrong, count(*) filter (n_suggestions > 0) as with_suggestions, sum(n_suggestions) as suggestions
+from results where expected is not null and not false_accept group by speller_id), q as (select *, "any" / nullif(with_suggestions, 0) as p, "any" / nullif(faults, 0) as r from m)
+select speller_id, faults, first, top_five, "any", none, only_wrong, with_suggestions, suggestions, round(p, 9) as precision, round(r, 9) as recall, round("any" / nullif(suggestions, 0), 9) as accuracy, round(2 * p * r / nullif(p + r, 0), 9) as f_score from q""",
+    "classification_counts": f"""with {_RESULTS} select speller_id, case when expected is null then case when false_accept then 'false_positive' else 'true_negative' end when false_accept then 'false_negative' else 'true_positive' end as class, count(*) as n from results group by all""",
+    "throughput": f"with {_RESULTS} select speller_id, count(*) as words, sum(nanos) as cpu_nanos, round(count(*) * 1e9 / nullif(sum(nanos), 0), 6) as words_per_cpu_second from results group by speller_id",
+    "regression_rate": f"""with {_RESULTS}, e as (select speller_id, input, expected, count(*) as n, arg_min(struct_pack(p := position), result_id).p as a, arg_max(struct_pack(p := position), result_id).p as b from results where input is not null and expected is not null group by all having count(*) > 1)
+select count(*) as pairs, count(*) filter (a is distinct from b) as changed, round(count(*) filter (a is distinct from b) / count(*), 9) as rate, coalesce(count(*) filter (a is distinct from b) / count(*) < 0.5, false) as passed from e""",
+}
+
+
+def _raised_sql(w: str) -> str:
+    a = case._ALPHABETIC
+    return f"case when regexp_matches({w}, '[{a}]') then regexp_extract({w}, '^[^{a}]*') || upper(regexp_extract({w}, '[{a}]')) || regexp_extract({w}, '(?s)^[^{a}]*[{a}](.*)$', 1) else {w} end"
+
+
+_CHECKED = f"""{_ENTRIES}, src as (select locale, word as w from words), classed as ({_CLASSED}),
+forms as (select *, lower(replace(w, 'Σ', 'σ')) as small, {_raised_sql('w')} as raised from classed),
+variants as (select locale, w, case when class = 'mixed' then case when length(regexp_replace(raised, '{_LOW}', '', 'g')) = length(raised) and length(raised) - length(regexp_replace(raised, '{_UP}', '', 'g')) >= 2 then [w] else [w, raised] end
+when class in ('all_upper', 'mostly_upper') then [w, {_raised_sql('small')}, small] else [w, small] end as fs from forms),
+hits as (select distinct locale, w from (select locale, w, unnest(fs) as f from variants) x where exists (select 1 from entries e where e.locale = x.locale and e.word = x.f)),
+checked as (select src.locale, src.w as word, hits.w is not null or not regexp_matches(src.w, '\\p{{L}}') as is_correct from src left join hits on hits.locale = src.locale and hits.w = src.w)"""
+ORACLES["is_correct"] = f"with {_CHECKED} select locale, word, is_correct from checked"
+ORACLES["unknown_rates"] = f"with {_CHECKED} select speller_id, count(*) as words, count(*) filter (not is_correct) as unknown from localed l join checked c on c.locale = l.locale and c.word = l.input group by speller_id"
