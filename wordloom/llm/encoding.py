@@ -41,10 +41,11 @@ CODE_PAGES = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "iso88
 COMMON_SIGNS = "½±№≈βΔ™€°§«»²³µ–—’‘“”„…·×÷£©®¼¾"
 
 # Costs in bits.
-LETTER, OUTSIDE, FOREIGN, MIMIC = 4.0, 5.0, 16.0, 9.0
+LETTER, OUTSIDE, FOREIGN, MIMIC, CAPITAL = 4.0, 5.0, 16.0, 9.0, 0.5
 UNIT, FOLDED, DROPPED, SIGN = 2.0, 1.0, 2.0, 3.0
 ENTER, LEAVE, WITHIN, UNTOUCHED = 6.0, 2.0, 0.3, 5.0
 LOST = "�"
+LONGEST = 512
 
 
 def _read(data: bytes, encoding: str) -> str:
@@ -147,7 +148,7 @@ class Garbles:
         for table in (self.utf8, self.units):
             for pair, (cost, original) in table.get(sub, {}).items():
                 if len(sub) > 1 or sub not in self.alphabet or self.legacy(pair):
-                    yield pair, cost + (LETTER if original in self.alphabet or original == LOST else LETTER + SIGN), original
+                    yield pair, cost + (LETTER if original in self.alphabet or original == LOST else LETTER + SIGN) + CAPITAL * original.isupper(), original
 
     def _wide_runs(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, pair, original) of runs that are UTF-8 bytes read as UTF-16."""
@@ -163,14 +164,17 @@ class Garbles:
                         original = data[: len(data) - cut].decode()
                     except UnicodeDecodeError:
                         continue
-                    if len(data) > cut and all(c in self.wide or (c.isascii() and c.isalnum()) or c in COMMON_SIGNS for c in original) and original.isprintable():
+                    if any(c.isalpha() for c in original) and (cut == 0 or len(run) > 1) and all(c in self.wide or (c.isascii() and c.isalnum()) or c in COMMON_SIGNS for c in original) and original.isprintable():
                         runs.append((m.start(), m.end(), f"utf-8 as utf-16-{order}", original))
                     break
         return runs
 
     def label(self, text: str) -> tuple[str, list[str], bool] | None:
         """(restored text, pairs found, whether only few characters speak for it), or
-        None if the whole text is clean."""
+        None if the whole text is clean.  A value of more than ``LONGEST`` characters is
+        labelled in stretches of whole words (or of that length, where a word is longer)."""
+        if len(text) > LONGEST:
+            return self._label_long(text)
         n = len(text)
         at: list[list[tuple[int, int, float, str]]] = [[] for _ in range(n)]  # ending before i+length
         pairs: set[int] = set()
@@ -252,6 +256,21 @@ class Garbles:
             return None
         return restored, found, weak
 
+    def _label_long(self, text: str) -> tuple[str, list[str], bool] | None:
+        out, found, weak, hit, at = [], [], True, False, 0
+        while at < len(text):
+            end = min(len(text), at + LONGEST)
+            if end < len(text) and (space := text.rfind(" ", at + 1, end)) > at:
+                end = space
+            piece = text[at:end]
+            new = self.label(piece)
+            out.append(new[0] if new else piece)
+            if new:
+                hit, weak = True, weak and new[2]
+                found += [p for p in new[1] if p not in found]
+            at = end
+        return ("".join(out), found, weak) if hit else None
+
     def _in_word(self, text: str, i: int, size: int) -> bool:
         """Whether a letter, or another suspect character, is next to text[i:i+size]."""
         near = text[max(0, i - 1) : i] + text[i + size : i + size + 1]
@@ -268,13 +287,15 @@ def find_garbled(values: DataFrame, *, text_col: str = "text", alphabet_col: str
     (default: all but the alphabet) with ``restored`` and ``pairs`` (names of the
     encoding pairs), ``lost`` (whether U+FFFD remains).
 
+    Input columns named like an output column are left out of the default.
+
     ``alphabet_col`` holds the letters of the row's locale as one string.  Values within
     alphabet and ASCII never leave the JVM.  A word of a foreign name can look like one
     wrong letter in some code page; a value for which only code-page pairs speak is
     dropped if the very same string stands in more than ``home_share`` of the locales
     (half of them if it is shorter than four characters, as such strings collide).
     """
-    keep = keep if keep is not None else [c for c in values.columns if c != alphabet_col]
+    keep = keep if keep is not None else [c for c in values.columns if c not in (alphabet_col, "restored", "pairs", "lost")]
     letters = F.coalesce(F.col(alphabet_col), F.lit(""))
     rest = F.expr(f"translate(regexp_replace({text_col}, '[\\\\x00-\\\\x7f]', ''), coalesce({alphabet_col}, ''), '')")
     odd = values.where(F.length(rest) > 0)

@@ -129,7 +129,7 @@ def score_texts(model: PPM, texts: list[str | None]) -> Iterator[list[dict]]:
 def _score(model: PPM, data: np.ndarray, bounds: np.ndarray) -> Iterator[list[dict]]:
     starts, ends, whole = _segments(data)
     found: list[list[dict]] = [[] for _ in range(len(bounds) - 1)]
-    if len(starts):
+    if len(starts) and model.langs:
         # pieces and the gaps between them alternate; only the pieces count
         marks = np.unique(np.concatenate([starts, ends[ends < len(data)]]))
         bits = model.code_lengths(data, marks)[np.searchsorted(marks, starts)]
@@ -217,9 +217,10 @@ def label_spans(documents: DataFrame, model: PPM, *, text_col: str = "text", kee
     (start, end in code points, lang, confidence, sentences) in text order.
 
     Runs map-side, without a shuffle.  The models travel with the tasks; their size
-    is bounded by the bounded samples they were fitted on.
+    is bounded by the bounded samples they were fitted on.  By default all columns are
+    kept but the text and any named ``spans``.  Without languages there are no spans.
     """
-    keep = keep if keep is not None else [c for c in documents.columns if c != text_col]
+    keep = keep if keep is not None else [c for c in documents.columns if c not in (text_col, "spans")]
     src = documents.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("spans", SPANS)])
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("sentences", pa.int32())]))

@@ -141,8 +141,10 @@ def fill_containers(items: DataFrame, containers: DataFrame, *, id_col: str = "d
     ``containers`` (container_kind, capacity_tokens) is a small table of settings.  To
     the driver comes one row per capacity and size, at most the sum of the capacities.
     Ranks are counted per size and ``salts`` hash classes, so no size, however frequent,
-    is one task.
+    is one task.  A container kind without a positive capacity is left out.
     """
+    if id_col in ("container_kind", "capacity_tokens", "bin_id", "piece_no", "pieces", "piece_tokens", "bin_tokens"):
+        raise ValueError(f"{id_col} is the name of an output column")
     kinds = [(r[0], int(r[1])) for r in containers.select("container_kind", "capacity_tokens").where("capacity_tokens > 0").orderBy("capacity_tokens", "container_kind").collect()]
     item_type = items.schema[id_col].dataType.simpleString()
     out = f"container_kind string, capacity_tokens int, bin_id bigint, `{id_col}` {item_type}, piece_no bigint, pieces bigint, piece_tokens bigint, bin_tokens bigint"

@@ -23,7 +23,9 @@ def rank_error(k: int) -> float:
 
 def day_sketches(values: DataFrame, groups: list[str], value: str, *, k: int = 800) -> DataFrame:
     """(groups..., n, least, greatest, sketch) over the non-null values; a group with
-    only nulls has no row.  ``value`` must be an integer column."""
+    only nulls has no row; null groups are groups.  ``value`` must be an integer column."""
+    if clash := {"n", "least", "greatest", "sketch"} & set(groups):
+        raise ValueError(f"{', '.join(sorted(clash))}: names of output columns")
     return (
         values.where(F.col(value).isNotNull())
         .groupBy(*groups)

@@ -58,8 +58,9 @@ def count_tokens(texts: list[str | None], vocabulary: str = DEFAULT_VOCABULARY)
 
 def with_tokens(rows: DataFrame, *, text_col: str = "text", out: str = "tokens", vocabulary: str = DEFAULT_VOCABULARY, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` and ``out``, the size of the text.  ``vocabulary`` must be
-    readable at that path on every executor."""
-    keep = keep if keep is not None else [c for c in rows.columns if c != text_col]
+    readable at that path on every executor.  By default all columns are kept but the
+    text and any named as ``out``; null and empty texts have size 0."""
+    keep = keep if keep is not None else [c for c in rows.columns if c not in (text_col, out)]
     src = rows.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*keep).schema.fields] + [f"`{out}` bigint"])
 
