@@ -407,10 +407,10 @@ ORACLES: dict[str, str] = {
     "tokens_by_lang": f"select lang, count(*) as documents, sum(coalesce(len(regexp_extract_all(text, '{_W}')), 0)) as tokens from documents group by lang",
     "word_frequencies": f"select word, count(*) as n from (select unnest(regexp_extract_all(text, '{_W}')) as word from documents) group by word",
     "token_offsets": f"""with d as (select doc_id, regexp_extract_all(text, '{_W}') as w, regexp_split_to_array(text, '{_W}') as g from documents where text is not null),
-e as (select doc_id, len(w) as words, unnest(range(1, len(w) + 1)) as i, w, g from d),
-p as (select doc_id, i, strlen(w[i]) as n, strlen(g[i]) as gap from e),
-o as (select doc_id, i, sum(gap) over q + coalesce(sum(n) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as idx from p window q as (partition by doc_id order by i))
-select d.doc_id, len(d.w) as words, coalesce(max(idx), -1) as last_idx, coalesce(sum(idx), 0) as idx_sum from d left join o using (doc_id) group by d.doc_id, d.w""",
+p as (select doc_id, unnest(w) as word, unnest(list_slice(g, 1, len(w))) as gap, unnest(range(1, len(w) + 1)) as i from d),
+o as (select doc_id, i, sum(strlen(gap)) over (partition by doc_id order by i) + coalesce(sum(strlen(word)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as idx from p),
+s as (select doc_id, max(idx) as last_idx, sum(idx) as idx_sum from o group by doc_id)
+select d.doc_id, len(d.w) as words, coalesce(last_idx, -1) as last_idx, coalesce(idx_sum, 0) as idx_sum from d left join s using (doc_id)""",
     "case_classes": f"with src as (select distinct input as w from accuracy_results where input is not null) select w as input, class as case_class from ({_CLASSED})",
     "grapheme_counts": "select distinct input, length_grapheme(input) as graphemes, length(input) as code_points from accuracy_results where input is not null",
     "input_symbols": f"""with {_ENTRIES}, unk as (select locale, min(sym) as u from symbols where kind = 'unknown' group by locale),
