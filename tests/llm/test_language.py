@@ -67,6 +67,12 @@ def test_spans(model):
     assert all(0 < s["confidence"] <= 1 for s in spans)
 
 
+def test_sentences_without_a_blank_between(model):
+    text = "The dog is running through the garden.猫坐在花园里看着一只狗。The cat sits on the mat."
+    (spans,) = list(language.score_texts(model, [text]))
+    assert [s["lang"] for s in spans] == ["en", "zh", "en"]
+
+
 def test_edges(model):
     long = "The children are playing outside in the garden. " * 20_000
     got = list(language.score_texts(model, [None, "", "x", "\n\n", "x = (18 + y) / 29", "a" * 500_000, long, "İİİ The dog is running through the garden."]))

@@ -68,7 +68,8 @@ def _segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     and whether each is a whole sentence."""
     nxt = np.append(data[1:], np.uint8(10))
     stop = (data == 46) | (data == 33) | (data == 63)
-    cut = (data == 10) | (stop & ((nxt == 32) | (nxt == 10)))
+    # a mark ends a sentence before a blank, a line end, or a script without blanks
+    cut = (data == 10) | (stop & ((nxt == 32) | (nxt == 10) | ((nxt >= 0xE3) & (nxt <= 0xE9))))
     # ideographic full stop E3 80 82, full-width marks EF BC 81 and EF BC 9F
     last = np.flatnonzero((data == 0x82) | (data == 0x81) | (data == 0x9F))
     a, b = data[last - 2], data[last - 1]
