@@ -68,7 +68,7 @@ def test_spans(model):
 
 
 def test_sentences_without_a_blank_between(model):
-    text = "The dog is running through the garden.猫坐在花园里看着一只狗。The cat sits on the mat."
+    text = "The dog is running through the garden.猫坐在花园里看着一只狗。The cat sits on the mat and looks at the bird."
     (spans,) = list(language.score_texts(model, [text]))
     assert [s["lang"] for s in spans] == ["en", "zh", "en"]
 
