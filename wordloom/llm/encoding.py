@@ -331,5 +331,6 @@ def find_garbled(values: DataFrame, *, text_col: str = "text", alphabet_col: str
         odd.groupBy(F.col(text_col).alias("__t")).agg(F.count_distinct(locale_col).alias("__n")).where("__n > 1")
         .join(F.broadcast(n_locales), F.col("__n") > F.when(F.length("__t") < 4, 0.5).otherwise(home_share) * F.col("__all")).select("__t")
     )
-    weak = found.where("__weak").join(everywhere, F.col("__text") == F.col("__t"), "left_anti")
-    return found.where("not __weak").unionByName(weak).drop("__weak", "__text", "__home")
+    common = everywhere.select(F.col("__t"), F.lit(True).alias("__common"))
+    judged = found.join(common, F.col("__weak") & (F.col("__text") == F.col("__t")), "left")
+    return judged.where("__common is null").drop("__weak", "__text", "__home", "__t", "__common")
