@@ -1,0 +1,116 @@
+import json
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import types as T
+
+from wordloom.operators import flatten
+
+
+
+def fields(**kinds):
+    return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+
+
+INNER = fields(w=T.DoubleType(), d=fields(z=T.LongType()))
+SCHEMA = fields(a=T.LongType(), s=fields(x=T.StringType(), t=fields(y=T.DoubleType())), l=T.ArrayType(fields(v=T.StringType(), m=T.ArrayType(INNER))), n=T.ArrayType(T.LongType()))
+
+
+def brute(record):
+    """(list place, inner place, w, z) of every inner element, straight from the JSON."""
+    out = []
+    outer = record.get("l")
+    outer = outer if isinstance(outer, list) else [outer] if isinstance(outer, dict) else []
+    for i, e in enumerate(outer):
+        inner = e.get("m") if isinstance(e, dict) else None
+        inner = inner if isinstance(inner, list) else [inner] if isinstance(inner, dict) else []
+        for j, m in enumerate(inner):
+            if isinstance(m, dict):
+                d = m.get("d")
+                out.append((i, j, m.get("w"), d.get("z") if isinstance(d, dict) else None, isinstance(d, dict)))
+    return out
+
+
+def random_record(rng):
+    def maybe(x):
+        return rng.choice([x, x, x, None])
+
+    def inner():
+        return rng.choice([None, {}, {"w": rng.random()}, {"w": 1.5, "d": None}, {"d": {}}, {"w": None, "d": {"z": rng.randrange(9)}}])
+
+    def outer():
+        return rng.choice([None, {}, {"v": "x"}, {"v": None, "m": []}, {"m": None}, {"m": [inner() for _ in range(rng.randrange(4))]}, {"m": inner()}, {"v": "y", "m": [inner(), None, inner()]}])
+
+    out = {"a": rng.randrange(9), "s": maybe({"x": "q", "t": maybe({"y": 1})}), "l": rng.choice([None, [], outer(), [outer() for _ in range(rng.randrange(5))]]), "n": rng.choice([None, [], [1, None, 3], 7])}
+    return {k: v for k, v in out.items() if rng.random() < 0.9}
+
+
+def test_tables_against_brute_force(spark):
+    rng = random.Random(4)
+    records = [random_record(rng) for _ in range(300)]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id bigint, body string").repartition(5)
+    shredded = flatten.shred_json(df, SCHEMA).cache()
+    rows = flatten.table(shredded, SCHEMA, "l.m", keys=["id"]).collect()
+    got = {(r["id"], r["l_no"], r["m_no"]): (r["w"], r["d_z"]) for r in rows}
+    want = {(k, i, j): (w, z) for k, rec in enumerate(records) for i, j, w, z, _ in brute(rec)}
+    assert len(rows) == len(got) and got == want
+    details = {(r["id"], r["l_no"], r["m_no"]) for r in flatten.table(shredded, SCHEMA, "l.m.d", keys=["id"]).collect()}
+    assert details == {(k, i, j) for k, rec in enumerate(records) for i, j, _, _, has in brute(rec) if has}
+    heads = {r["id"]: (r["a"], r["s_x"], r["s_t_y"]) for r in flatten.table(shredded, SCHEMA, "", keys=["id"]).collect()}
+    assert heads == {k: (r.get("a"), (r.get("s") or {}).get("x"), ((r.get("s") or {}).get("t") or {}).get("y")) for k, r in enumerate(records)}
+    outer = flatten.table(shredded, SCHEMA, "l", keys=["id"], with_null_elements=True).count()
+    assert outer == sum(len(x) if isinstance(x := r.get("l"), list) else isinstance(x, dict) for r in records)
+    shredded.unpersist()
+
+
+WRAPPED = {"a": 1, "l": [{"v": "x", "m": [{"w": 2.0}]}]}
+
+
+@pytest.mark.parametrize(
+    "body, complete",
+    [
+        (json.dumps(WRAPPED), True), ("﻿" + json.dumps(WRAPPED, indent=2), True), (json.dumps(json.dumps(WRAPPED)), True), (json.dumps({"report": WRAPPED}), True),
+        (json.dumps({"payload": json.dumps(WRAPPED)}), True), (json.dumps(json.dumps({"payload": WRAPPED})), True), (json.dumps([WRAPPED]), True), (json.dumps(WRAPPED)[:-3], False), ("", False), (None, False), ("null", False), ("[1, 2]", False), ("{", False), ("x" * 100_000, False), ("[" * 100_000, False),
+    ],
+)
+def test_writings(body, complete):
+    nodes = flatten.schema_tree(SCHEMA)
+    record = flatten.parse_record(body, nodes)
+    assert (record is not None) == complete
+    if complete:
+        assert record["a"] == 1 and brute({k: v for k, v in record.items()}) == [(0, 0, 2.0, None, False)]
+
+
+def test_names_strings_and_types(spark):
+    body = {"A": "5", "s": json.dumps({"x": 7}), "l": {"V": True, "m": json.dumps([{"w": "1.5", "d": {"z": 2.9}}])}, "n": "no"}
+    df = spark.createDataFrame([(1, json.dumps(body), "x"), (2, None, None), (3, json.dumps({"other": 1}), None)], "id bigint, body string, complete string")
+    shredded = flatten.shred_json(df, SCHEMA, keep=["id"])
+    head = {r["id"]: r for r in flatten.table(shredded, SCHEMA, "", keys=["id"]).collect()}
+    assert head[1]["a"] == 5 and head[1]["s_x"] == "7" and head[3]["a"] is None and set(head) == {1, 3}
+    (inner,) = flatten.table(shredded, SCHEMA, "l.m", keys=["id"]).collect()
+    assert (inner["l_no"], inner["m_no"], inner["w"], inner["d_z"]) == (0, 0, 1.5, 2)
+    assert flatten.table(flatten.shred_json(df.limit(0), SCHEMA, keep=["id"]), SCHEMA, "l", keys=["id"]).count() == 0
+    with pytest.raises(ValueError):
+        flatten.table(shredded, fields(q=fields(r=T.ArrayType(T.LongType()))), "q", keys=["id"])
+
+
+def test_first_copies(spark):
+    rows = [(1, 7, "b", json.dumps(WRAPPED)), (2, 7, "a", "{broken"), (3, 7, "c", json.dumps(WRAPPED, indent=1)), (4, None, "a", json.dumps(WRAPPED)), (5, 8, None, json.dumps(WRAPPED)), (6, 8, "z", json.dumps(WRAPPED))]
+    df = spark.createDataFrame(rows, "raw_id bigint, report_id bigint, at string, body string")
+    one = flatten.first_copies(flatten.shred_json(df, SCHEMA), "report_id", ["at", "raw_id"])
+    assert sorted(r["raw_id"] for r in one.select("raw_id").collect()) == [1, 4, 5]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=40))
+def test_ordinals(levels):
+    reps = np.array([0, *levels])
+    want, a, b = [], 0, 0
+    for r in reps:
+        a, b = (0, 0) if r == 0 else (a + 1, 0) if r == 1 else (a, b + 1)
+        want.append((a, b))
+    got = flatten.ordinals(reps, 2)
+    assert list(zip(*(g.tolist() for g in got))) == want
