@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,13 +49,13 @@ def word_indices(text: Column, pattern: str = WORD) -> Column:
         def one(t: str | None):
             if t is None:
                 return None
-            out, at, byte = [], 0, 0
-            for m in find(t):
-                byte += len(t[at : m.start()].encode())
-                out.append({"idx": byte, "word": m.group()})
-                byte += len(m.group().encode())
-                at = m.end()
-            return out
+            spans = [m.span() for m in find(t)]
+            if t.isascii():
+                return [{"idx": i, "word": t[i:j]} for i, j in spans]
+            # bytes before each character, from the number of bytes each takes
+            points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+            before = np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)).tolist()
+            return [{"idx": before[i - 1] if i else 0, "word": t[i:j]} for i, j in spans]
 
         return texts.map(one)
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Fst, GeneratorConfig, apply_flag
+from ..session import spread
 from .rank import clusters
 
 
@@ -68,4 +69,4 @@ def generate_forms(lemmas: DataFrame, fst: Fst, *, column: str = "lemma", config
             rows = [(w, *r) for w in batch.column(0).to_pylist() for r in generate(fst, w, config, split)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.float32())], names=[column, "surface", "analysis", "weight"])
 
-    return lemmas.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).distinct().mapInArrow(run, f"`{column}` string, surface string, analysis string, weight float")
+    return spread(lemmas.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).distinct()).mapInArrow(run, f"`{column}` string, surface string, analysis string, weight float")

@@ -41,3 +41,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wordloom-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Few but costly rows over all cores: partitions by number are not merged again at
+    runtime, as partitions of few bytes otherwise are."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        n = max(n, spark.sparkContext.defaultParallelism)
+    except Exception:  # a session without a context of its own
+        pass
+    return df.repartition(n)
