@@ -325,12 +325,10 @@ def find_garbled(values: DataFrame, *, text_col: str = "text", alphabet_col: str
             )
 
     found = src.mapInArrow(run, full)
-    # strings at home in many locales; one value of up to as many bytes as there are locales
-    n_locales = values.agg(F.count_distinct(locale_col).alias("__all"))
-    everywhere = (
-        odd.groupBy(F.col(text_col).alias("__t")).agg(F.count_distinct(locale_col).alias("__n")).where("__n > 1")
-        .join(F.broadcast(n_locales), F.col("__n") > F.when(F.length("__t") < 4, 0.5).otherwise(home_share) * F.col("__all")).select("__t")
-    )
+    # strings at home in many locales; their number of locales against that of all, one value
+    locales = values.agg(F.count_distinct(locale_col)).scalar()
+    share = F.when(F.length("__t") < 4, 0.5).otherwise(home_share)
+    everywhere = odd.groupBy(F.col(text_col).alias("__t")).agg(F.count_distinct(locale_col).alias("__n")).where((F.col("__n") > 1) & (F.col("__n") > share * locales)).select("__t")
     common = everywhere.select(F.col("__t"), F.lit(True).alias("__common"))
     judged = found.join(common, F.col("__weak") & (F.col("__text") == F.col("__t")), "left")
     return judged.where("__common is null").drop("__weak", "__text", "__home", "__t", "__common")

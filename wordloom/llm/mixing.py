@@ -17,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -114,6 +114,6 @@ def mix(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", sou
     aims = spark.createDataFrame([(s, g[0], int(g[1])) for s, g in goal.items()], "source string, target_share double, max_repeats int")
     taken = mixture.groupBy("source").agg(F.count("*").alias("documents"), F.sum("copies").alias("copies"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
     shares = aims.join(taken, "source", "left").fillna(0, ["documents", "copies", "tokens"])
-    whole = shares.agg(F.sum("tokens").alias("all"))
-    shares = shares.join(F.broadcast(whole)).withColumn("actual_share", F.col("tokens") / F.nullif("all", F.lit(0))).drop("all")
+    # one row per target source: the window over all of them is that small
+    shares = shares.withColumn("actual_share", F.col("tokens") / F.nullif(F.sum("tokens").over(Window.partitionBy(F.lit(0))), F.lit(0)))
     return mixture, shares
