@@ -173,7 +173,7 @@ def test_mixture(spark):
     rows = mixture.collect()
     assert max(r["copies"] for r in rows if r["source"] == "a") <= 2 and max(r["copies"] for r in rows if r["source"] == "b") == 1
     by = {r["source"]: r for r in shares.collect()}
-    assert by["a"]["actual_share"] == pytest.approx(0.4, abs=0.03) and by["b"]["actual_share"] == pytest.approx(0.6, abs=0.03)
+    assert by["a"]["actual_share"] == pytest.approx(0.4, abs=0.003) and by["b"]["actual_share"] == pytest.approx(0.6, abs=0.003)
     assert by["absent"]["copies"] == 0 and sum(r["actual_share"] for r in by.values()) == pytest.approx(1)
     assert sorted(map(tuple, mix(df, targets)[0].collect())) == sorted(map(tuple, rows))
     none_mix, none_shares = mix(df.limit(0), targets)

@@ -3,9 +3,10 @@
 Tokens are summed over the cells source x language x topic; iterative proportional
 fitting scales the cells' weights until the mixture has the target shares by source
 and the wanted marginals by language and topic, no weight above the repeats allowed
-in its source.  Each document is then taken floor(w) times, and once more with
-probability frac(w), drawn from a hash of its id: the draw is the same on every run
-and executor, and no document is taken more often than its source allows.
+in its source.  Each document is then taken floor(w) times, and once more with a
+probability proportional to frac(w), calibrated per source to the tokens wanted and
+drawn from a hash of its id: the draw is the same on every run and executor, and no
+document is taken more often than its source allows.
 
 The cell table has one row per named source, known language and topic class; it is
 bounded by those lists, not by the documents.  Documents of sources without a target,
@@ -26,6 +27,10 @@ def source_name(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(source)), r"[-\s]+", "_")
 
 
+#: Classes of a draw's quotient up to 1, in the histogram that calibrates the draws.
+BINS = 2048
+
+
 @dataclass(frozen=True)
 class Plan:
     """Weights of the cells, and what the mixture is expected to hold."""
@@ -105,9 +110,32 @@ def mix(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", sou
     weights = spark.createDataFrame([(*c, float(w)) for c, w in zip(plan.cells, plan.weights)], "source string, lang string, topic string, weight double")
     # 53 bits of the hash, as a number in [0, 1)
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / F.lit(float(1 << 53))
-    mixture = (
+    drawn = (
         docs.join(weights, ["source", "lang", "topic"])
-        .withColumn("copies", (F.floor("weight") + (u < F.col("weight") - F.floor("weight")).cast("int")).cast("int"))
+        .withColumn("base", F.floor("weight"))
+        .withColumn("part", F.col("weight") - F.col("base"))
+        # a document is taken once more if its draw is below its part: the quotient below 1
+        .withColumn("draw", F.when(F.col("part") > 0, u / F.col("part")))
+        .withColumn("bin", F.floor(F.col("draw") * BINS))
+    )
+    # lengths are so skewed that the tokens drawn miss their target; the limit on the quotient
+    # is therefore set per source where the tokens below it come nearest, by a histogram
+    sums = drawn.groupBy("source", F.when(F.col("bin") < 2 * BINS, F.col("bin")).alias("bin")).agg(F.sum(F.when(F.col("part") > 0, F.col("tokens"))).alias("t"), F.sum(F.col("base") * F.col("tokens")).alias("whole")).collect()
+    reach = sum(g[0] for s, g in goal.items() if s in {c[0] for c in plan.cells}) or 1.0
+    limits = []
+    for name in sorted({r["source"] for r in sums}):
+        own = [r for r in sums if r["source"] == name]
+        wanted = plan.total * goal[name][0] / reach - sum(r["whole"] or 0 for r in own)
+        best, limit, have = abs(wanted), 0.0, 0.0
+        for b, t in sorted((r["bin"], r["t"]) for r in own if r["bin"] is not None):
+            have += t
+            if abs(wanted - have) < best:
+                best, limit = abs(wanted - have), (b + 1) / BINS
+        limits.append((name, limit))
+    at = spark.createDataFrame(limits, "source string, limit double")
+    mixture = (
+        drawn.join(at, "source")
+        .withColumn("copies", (F.col("base") + F.coalesce(F.col("draw") < F.col("limit"), F.lit(False)).cast("int")).cast("int"))
         .where("copies > 0")
         .select(F.col("id").alias(id_col), "source", "lang", "topic", "tokens", "weight", "copies")
     )
