@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.case import case_variants
 from ..model import SpellerConfig
-from .accept import check_words
+from .accept import check_words, is_correct_by_members
 from .rank import osa
+from .scan import suggest_from_list
 from .suggest import Speller, suggest_words
 
 
@@ -145,8 +147,23 @@ def evaluate(corpus: DataFrame, speller: Speller, config: SpellerConfig = Spelle
     checked = check_words(rows, speller.lexicon, column="input", config=config)
     wrong = checked.where("not is_correct")
     found = suggest_words(wrong, speller, column="input", config=config)
-    listed = found.groupBy("input").agg(F.sort_array(F.collect_list(F.struct("rank", "value", "weight", "completed", "weight_details"))).alias("__s"))
-    out = rows.join(checked, "input", "left").join(listed, "input", "left")
+    return _outcomes(rows, checked, found, ["input"])
+
+
+def evaluate_from_list(corpus: DataFrame, entries: DataFrame, *, group: str, config: SpellerConfig = SpellerConfig()) -> DataFrame:
+    """The same per group, with the entries (group, word, weight) as its lexicon and single
+    edits as its error model; the lexicon may be of any size."""
+    rows = corpus.withColumn("input", F.coalesce("input", F.lit("")))
+    variants = case_variants(F.col("word")) if config.recase else F.array().cast("array<string>")
+    words = rows.select(group, F.col("input").alias("word"))
+    checked = is_correct_by_members(words, entries, variants, group=group).withColumnRenamed("word", "input")
+    found = suggest_from_list(checked.where("not is_correct"), entries, group=group, column="input", config=config)
+    return _outcomes(rows, checked, found, [group, "input"])
+
+
+def _outcomes(rows: DataFrame, checked: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    listed = found.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rank", "value", "weight", "completed", "weight_details"))).alias("__s"))
+    out = rows.join(checked, key, "left").join(listed, key, "left")
     suggestions = F.when(F.col("is_correct") | F.col("__s").isNull(), F.array().cast("array<struct<rank:int,value:string,weight:float,completed:boolean,weight_details:struct<lexicon_weight:float,mutator_weight:float,reweight_start:float,reweight_mid:float,reweight_end:float>>>")).otherwise(F.col("__s"))
     place = F.array_position(F.transform(suggestions, lambda s: s["value"]), F.col("expected"))
     return out.select(

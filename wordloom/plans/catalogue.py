@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import case, text
 from ..model import Fst, Reweighting, SpellerConfig, edit_mutator, lexicon_from_words
-from ..operators import accept, evaluate, flatten, generate, rank, suggest
+from ..operators import accept, evaluate, flatten, generate, rank, scan, suggest
 
 FLAGSHIP = "suggest_one_edit"
 #: Most entries of a lexicon that is carried to the executors.
@@ -238,6 +238,12 @@ def suggest_search(spark: SparkSession, sf: str) -> DataFrame:
     return suggest.search_words(words, spellers, group="locale", config=ONE_EDIT)
 
 
+def suggest_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best corrections of each distinct input word under the default settings:
+    any number of edits, the word's casings, weights of the lexicon, penalties."""
+    return scan.suggest_from_list(_words(spark, sf), _entries(spark, sf), group="locale").select("locale", "word", "rank", "value", "weight")
+
+
 def _suggestions(spark: SparkSession, sf: str) -> DataFrame:
     """Suggestions, exact copies once."""
     rows = _read(spark, sf, "suggestions")
@@ -310,6 +316,12 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(counts, "result_id", "left").withColumn("n_suggestions", F.coalesce("n", F.lit(0)))
 
 
+def evaluate_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcome of every result's input and expected word under the default settings."""
+    corpus = _localed(spark, sf).select("result_id", "locale", "input", "expected")
+    return evaluate.evaluate_from_list(corpus, _entries(spark, sf), group="locale")
+
+
 def accuracy_summary(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.summarize(_results(spark, sf), ["report_id"])
 
@@ -356,8 +368,8 @@ QUERIES = {
         tokens_by_lang, token_offsets, word_frequencies, cursor_context, case_classes, case_variants, grapheme_counts,
         input_symbols, symbol_translation, unknown_output_domain,
         lexicon_entries, lexicon_arcs, is_correct, unknown_rates, fst_accept, distances_to_final, lexicon_weights,
-        suggest_one_edit, suggest_search, suggestion_ranking, suggestion_limits, edit_distances, penalties, generated_forms, without_hidden,
-        accuracy_summary, classifier_metrics, suggestion_metrics, classification_counts, throughput, regression_rate, threshold_gate,
+        suggest_one_edit, suggest_search, suggest_words, suggestion_ranking, suggestion_limits, edit_distances, penalties, generated_forms, without_hidden,
+        evaluate_words, accuracy_summary, classifier_metrics, suggestion_metrics, classification_counts, throughput, regression_rate, threshold_gate,
     )
 }
 
