@@ -114,3 +114,24 @@ def test_ordinals(levels):
         want.append((a, b))
     got = flatten.ordinals(reps, 2)
     assert list(zip(*(g.tolist() for g in got))) == want
+
+
+def test_report_is_whole(spark):
+    """Every leaf of a report comes out in one of its tables, with its place."""
+    title = [{"lang": "se", "value": "a"}, None, {"lang": None, "value": "b"}]
+    config = {"n-best": 5, "max-weight": 9.5, "beam": None, "recase": True, "reweight": {"start-penalty": 1.5, "end-penalty": 2.5, "mid-penalty": 3.5}, "node-pool-size": 64, "completion-marker": "+", "astar-lookahead": True, "search-dedup": False, "mutator-subsets": True}
+    metadata = {"info": {"locale": "se", "title": title, "description": "d", "producer": "p"}, "acceptor": {"type": "t", "id": "i", "title": title[:1], "description": "e", "continuation": "c"}, "errmodel": {"id": "j", "title": {"lang": "fi", "value": "z"}, "description": "f"}}
+    body = {"metadata": metadata, "config": config, "results": [{"input": "x"}, {"input": "y", "note": {"seen_by": ["viewer", None, {"tab": 5}]}}]}
+    df = spark.createDataFrame([(1, json.dumps(body)), (2, json.dumps({"config": {}}))], "report_id bigint, body string")
+    shredded = flatten.shred_json(df, flatten.REPORT, keep=["report_id"])
+
+    def rows(ancestor):
+        return sorted(tuple(r)[1:] for r in flatten.table(shredded, flatten.REPORT, ancestor, keys=["report_id"]).collect())
+
+    head = {r["report_id"]: r.asDict() for r in flatten.table(shredded, flatten.REPORT, "", keys=["report_id"]).collect()}
+    want = {"metadata_info_locale": "se", "metadata_info_description": "d", "metadata_info_producer": "p", "metadata_acceptor_type": "t", "metadata_acceptor_id": "i", "metadata_acceptor_description": "e", "metadata_acceptor_continuation": "c", "metadata_errmodel_id": "j", "metadata_errmodel_description": "f"}
+    want |= {"config_reweight_start_penalty": 1.5, "config_reweight_end_penalty": 2.5, "config_reweight_mid_penalty": 3.5, "config_node_pool_size": 64, "config_completion_marker": "+", "config_astar_lookahead": True, "config_search_dedup": False, "config_mutator_subsets": True, "config_n_best": 5}
+    assert {k: head[1][k] for k in want} == want and all(head[2][k] is None for k in want)
+    assert rows("metadata.info.title") == [(0, "se", "a"), (2, None, "b")]
+    assert rows("metadata.acceptor.title") == [(0, "se", "a")] and rows("metadata.errmodel.title") == [(0, "fi", "z")]
+    assert rows("results.note.seen_by") == [(1, 0, "viewer"), (1, 2, '{"tab": 5}')]

@@ -264,11 +264,15 @@ def table(shredded: DataFrame, schema: T.StructType, ancestor: str, *, keys: lis
     level = chain[-1].definition if chain else 0
     if with_null_elements and chain and chain[-1].repeated:
         level -= 1
-    below = [n for n in every.values() if not n.children and not n.repeated and n.repetition == depth and (n.path.startswith(ancestor + ".") if ancestor else True)]
+    if chain and chain[-1].repeated and not chain[-1].children:
+        # a list of plain values: the element is the row's only column
+        below = [chain[-1]]
+    else:
+        below = [n for n in every.values() if not n.children and not n.repeated and n.repetition == depth and (n.path.startswith(ancestor + ".") if ancestor else True)]
     if not below:
         raise ValueError(f"{ancestor or 'the record'} has no leaves of its own")
     src = shredded.where("complete").select(*keys, *[n.path.replace(".", "__") for n in below])
-    name = {n.path: n.path[len(ancestor) + 1 if ancestor else 0 :].replace(".", "_") for n in below}
+    name = {n.path: n.name if n.path == ancestor else n.path[len(ancestor) + 1 if ancestor else 0 :].replace(".", "_") for n in below}
     out = T.StructType([*(shredded.schema[k] for k in keys), *(T.StructField(f"{n.name}_no", T.IntegerType()) for n in lists), *(T.StructField(name[n.path], _leaf_type(n)) for n in below)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,10 +298,38 @@ def table(shredded: DataFrame, schema: T.StructType, ancestor: str, *, keys: lis
 
 _TIME = T.StructType([T.StructField("secs", T.LongType()), T.StructField("subsec_nanos", T.LongType())])
 _SUMMARY = [*"total_words first_position top_five any_position no_suggestions only_wrong false_accept true_positive false_negative true_negative".split()]
+_TITLE = T.StructField("title", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("value", T.StringType())])))
+
+
+def _texts(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.StringType()) for n in names]
+
+
+#: Who made the speller: titles are lists, so each has a table of its own.
+_METADATA = T.StructType(
+    [
+        T.StructField("info", T.StructType([*_texts("locale"), _TITLE, *_texts("description", "producer")])),
+        T.StructField("acceptor", T.StructType([*_texts("type", "id"), _TITLE, *_texts("description", "continuation")])),
+        T.StructField("errmodel", T.StructType([*_texts("id"), _TITLE, *_texts("description")])),
+    ]
+)
+_CONFIG = T.StructType(
+    [
+        T.StructField("n_best", T.LongType()),
+        T.StructField("max_weight", T.DoubleType()),
+        T.StructField("beam", T.DoubleType()),
+        T.StructField("recase", T.BooleanType()),
+        T.StructField("reweight", T.StructType([T.StructField(n, T.DoubleType()) for n in ("start_penalty", "end_penalty", "mid_penalty")])),
+        T.StructField("node_pool_size", T.LongType()),
+        T.StructField("completion_marker", T.StringType()),
+        *(T.StructField(n, T.BooleanType()) for n in ("astar_lookahead", "search_dedup", "mutator_subsets")),
+    ]
+)
 #: The record of one evaluation run.
 REPORT = T.StructType(
     [
-        T.StructField("config", T.StructType([T.StructField("n_best", T.LongType()), T.StructField("max_weight", T.DoubleType()), T.StructField("beam", T.DoubleType()), T.StructField("recase", T.BooleanType())])),
+        T.StructField("metadata", _METADATA),
+        T.StructField("config", _CONFIG),
         T.StructField("summary", T.StructType([*(T.StructField(n, T.LongType()) for n in _SUMMARY), *(T.StructField(n, _TIME) for n in ("slowest_lookup", "fastest_lookup", "average_time", "average_time_95pc")), T.StructField("average_position_of_correct", T.DoubleType()), T.StructField("average_suggestions_for_correct", T.DoubleType())])),
         T.StructField("start_timestamp", _TIME),
         T.StructField("total_time", _TIME),
@@ -312,6 +344,7 @@ REPORT = T.StructType(
                         T.StructField("position", T.LongType()),
                         T.StructField("time", _TIME),
                         T.StructField("false_accept", T.BooleanType()),
+                        T.StructField("note", T.StructType([T.StructField("seen_by", T.ArrayType(T.StringType()))])),
                         T.StructField(
                             "suggestions",
                             T.ArrayType(

@@ -61,6 +61,27 @@ def p5_weight_details(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(spark, sf, "results.suggestions.weight_details")
 
 
+def p5_info_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per title of the speller, with its report."""
+    return _flat(spark, sf, "metadata.info.title")
+
+
+def p5_acceptor_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per title of the lexicon, with its report."""
+    return _flat(spark, sf, "metadata.acceptor.title")
+
+
+def p5_errmodel_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per title of the error model, with its report."""
+    return _flat(spark, sf, "metadata.errmodel.title")
+
+
+def p5_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per entry of a result's note of who saw it, with its report and result;
+    an entry that is an object is kept as JSON."""
+    return _flat(spark, sf, "results.note.seen_by")
+
+
 # --- words and case -----------------------------------------------------------------
 
 
@@ -364,7 +385,7 @@ def threshold_gate(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p5_found, p5_reports, p5_results, p5_suggestions, p5_weight_details,
+        p5_found, p5_reports, p5_results, p5_suggestions, p5_weight_details, p5_info_titles, p5_acceptor_titles, p5_errmodel_titles, p5_notes,
         tokens_by_lang, token_offsets, word_frequencies, cursor_context, case_classes, case_variants, grapheme_counts,
         input_symbols, symbol_translation, unknown_output_domain,
         lexicon_entries, lexicon_arcs, is_correct, unknown_rates, fst_accept, distances_to_final, lexicon_weights,
