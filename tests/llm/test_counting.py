@@ -180,3 +180,12 @@ def test_mixture(spark):
     assert none_mix.count() == 0 and all(r["actual_share"] is None for r in none_shares.collect())
     names = spark.createDataFrame([(" OCR-backfile ",), ("PCT_FEED",), (None,)], "s string")
     assert [r[0] for r in names.select(source_name(F.col("s"))).collect()] == ["ocr_backfile", "pct_feed", None]
+
+
+def test_large_sizes_of_one_item_are_paired():
+    assert sum(t for t, _ in pack_histogram(100, {45: 1, 42: 1, 41: 1, 40: 1})) == 2
+    assert sorted(pack_histogram(100, {45: 3, 40: 2})) == [(1, ((40, 1),)), (1, ((45, 1), (40, 1))), (1, ((45, 2),))]
+    rng = random.Random(8)
+    for _ in range(50):
+        sizes = Counter(rng.randrange(34, 51) for _ in range(rng.randrange(1, 40)))
+        assert sum(t for t, _ in pack_histogram(100, sizes)) == -(-sizes.total() // 2)

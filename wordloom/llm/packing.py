@@ -53,8 +53,13 @@ def pack_histogram(capacity: int, histogram: dict[int, int]) -> list[tuple[int,
             used = {a: n}
         elif a == b:
             put(capacity - 2 * a, n // 2, ((a, 2),))
-            put(capacity - a, n % 2, ((a, 1),))
             used = {a: n}
+            if n % 2 and len(large) > 1:
+                # the odd one goes with the next smaller size, which fits as two of this size do
+                put(capacity - a - large[-2], 1, ((a, 1), (large[-2], 1)))
+                used[large[-2]] = 1
+            else:
+                put(capacity - a, n % 2, ((a, 1),))
         else:
             m = min(n, left[b])
             put(capacity - a - b, m, ((a, 1), (b, 1)))
