@@ -1,65 +1,49 @@
-"""Words of texts: Unicode word boundaries, with hyphens as letters between letters."""
+"""Words of texts: Unicode word boundaries, with hyphens as letters between letters.
 
-from __future__ import annotations
+Boundaries are those of UAX 29 in all scripts (:mod:`.boundaries`): a Han, Hiragana or Thai
+letter is a word of its own, a Katakana run is one, a sign or emoji is none.  A word is a
+segment with a letter or number.  Null texts give null, empty ones no words."""
 
-from functools import lru_cache
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that join letters, join numbers, or join both (UAX 29 MidLetter, MidNum, MidNumLet, and hyphens).
-MID_LETTER = "\\-\u2010\u2011\ufe63\uff0d:\u00b7\u0387\u2027\ufe13\ufe55\uff1a"
-MID_BOTH = "'.\u2018\u2019\u2024\ufe52\uff07\uff0e"
-MID_NUMBER = ",;\u037e\u0589\u060c\u060d\u066c\u2044"
-
+from . import boundaries
 
-def word_pattern(alphabet: str = "") -> str:
-    """One pattern without look-around that matches the words of a text (segments with a
-    letter or digit).  ``alphabet``: further characters that count as letters."""
-    more = "".join("\\" + c if not c.isalnum() else c for c in alphabet)
-    extend = "[\\p{M}\u00ad\u200d]*"
-    letter = f"(?:[\\p{{L}}{more}]{extend})"
-    number = f"(?:\\p{{Nd}}{extend})"
-    link = f"(?:\\p{{Pc}}{extend})"
-    return f"(?:{letter}(?:[{MID_LETTER}{MID_BOTH}]{extend}{letter}|{letter})*|{number}(?:[{MID_NUMBER}{MID_BOTH}]{extend}{number}|{number})*|{link})+"
 
+def _by_arrow(text: Column, result: str, kernel) -> Column:
+    def run(texts: pa.Array) -> pa.Array:
+        return kernel(texts)
 
-WORD = word_pattern()
+    return F.arrow_udf(run, result)(text)
 
 
-def words(text: Column, pattern: str = WORD) -> Column:
-    """The words of a text in order, as an array; null for null."""
-    return F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+def words(text: Column, alphabet: str = "") -> Column:
+    """The words of a text in order, as an array.  ``alphabet``: further characters that
+    count as letters."""
+    return _by_arrow(text, "array<string>", lambda texts: boundaries.list_words(texts, alphabet))
 
 
-def word_indices(text: Column, pattern: str = WORD) -> Column:
-    """Words with byte offsets, array<struct<idx bigint, word string>>; null for null.
+def word_count(text: Column, alphabet: str = "") -> Column:
+    """How many words a text has."""
+    return _by_arrow(text, "bigint", lambda texts: boundaries.count_words(texts, alphabet))
 
-    An Arrow kernel, as running offsets in array expressions cost the square of the
-    number of words."""
 
-    @F.pandas_udf("array<struct<idx: bigint, word: string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        import regex
+def word_starts(text: Column, alphabet: str = "") -> Column:
+    """Byte offsets of the words, array<bigint>."""
+    return _by_arrow(text, "array<bigint>", lambda texts: boundaries.list_starts(texts, alphabet))
 
-        find = regex.compile(pattern).finditer
 
-        def one(t: str | None):
-            if t is None:
-                return None
-            spans = [m.span() for m in find(t)]
-            if t.isascii():
-                return [{"idx": i, "word": t[i:j]} for i, j in spans]
-            # bytes before each character, from the number of bytes each takes
-            points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-            before = np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)).tolist()
-            return [{"idx": before[i - 1] if i else 0, "word": t[i:j]} for i, j in spans]
+def word_indices(text: Column, alphabet: str = "") -> Column:
+    """Words with byte offsets, array<struct<idx bigint, word string>>."""
+    return _by_arrow(text, "array<struct<idx: bigint, word: string>>", lambda texts: boundaries.list_indices(texts, alphabet))
 
-        return texts.map(one)
 
-    return run(text)
+def word_bounds(text: Column, alphabet: str = "") -> Column:
+    """All segments, words and what lies between, as :func:`word_indices` has them."""
+    return _by_arrow(text, "array<struct<idx: bigint, word: string>>", lambda texts: boundaries.list_indices(texts, alphabet, every=True))
 
 
 def graphemes(text: Column) -> Column:
@@ -67,8 +51,9 @@ def graphemes(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\X)"), 1)
 
 
-def reversed_words(text: Column, pattern: str = WORD) -> Column:
-    return F.reverse(word_indices(text, pattern))
+def reversed_words(text: Column, alphabet: str = "") -> Column:
+    """The words with offsets from the last to the first."""
+    return F.reverse(word_indices(text, alphabet))
 
 
 def cursor_context(first: Column, second: Column) -> Column:
@@ -94,34 +79,11 @@ def cursor_context(first: Column, second: Column) -> Column:
     )
 
 
-@lru_cache(maxsize=16)
-def _boundary(alphabet: str):
-    import regex
-
-    # words that the look-around-free pattern joins are cut where the full rules cut them
-    return regex.compile(word_pattern(alphabet)), regex.compile(r"\b", regex.WORD)
-
-
 def segments(text: str, alphabet: str = "") -> list[tuple[int, str]]:
-    """All segments of a text, words and what lies between, with byte offsets.
-
-    Boundaries are those of UAX 29, except that hyphens, and the characters of
-    ``alphabet``, join what they stand between."""
-    word, boundary = _boundary(alphabet)
-    cuts = {0, len(text)} | {m.start() for m in boundary.finditer(text)}
-    for m in word.finditer(text):
-        inner = m.group()
-        joined = any(c in inner for c in "-\u2010\u2011\ufe63\uff0d" + alphabet)
-        if joined:
-            cuts -= set(range(m.start() + 1, m.end()))
-            cuts |= {m.start(), m.end()}
-    points = sorted(cuts)
-    out, at = [], 0
-    for a, b in zip(points, points[1:]):
-        out.append((at, text[a:b]))
-        at += len(text[a:b].encode())
-    return out
+    """All segments of one text, words and what lies between, with byte offsets."""
+    return [(x["idx"], x["word"]) for x in boundaries.list_indices(pa.array([text]), alphabet, every=True).to_pylist()[0]]
 
 
 def py_word_indices(text: str, alphabet: str = "") -> list[tuple[int, str]]:
-    return [(i, s) for i, s in segments(text, alphabet) if any(c.isalnum() for c in s)]
+    """The words of one text, with byte offsets."""
+    return [(x["idx"], x["word"]) for x in boundaries.list_indices(pa.array([text]), alphabet).to_pylist()[0]]

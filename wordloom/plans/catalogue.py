@@ -86,17 +86,19 @@ def p5_notes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tokens_by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _read(spark, sf, "documents")
-    return docs.groupBy("lang").agg(F.count("*").alias("documents"), F.sum(F.coalesce(F.size(text.words(F.col("text"))), F.lit(0))).alias("tokens"))
+    """Documents and their words per language label."""
+    docs = _read(spark, sf, "documents").select("lang", text.word_count(F.col("text")).alias("n"))
+    return docs.groupBy("lang").agg(F.count("*").alias("documents"), F.sum(F.coalesce("n", F.lit(0))).alias("tokens"))
 
 
 def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
     """Words of each document, the byte offset of the last, and the sum of all offsets."""
-    docs = _read(spark, sf, "documents").where("text is not null").select("doc_id", text.word_indices(F.col("text")).alias("w"))
-    return docs.select("doc_id", F.size("w").alias("words"), F.coalesce(F.get("w", F.size("w") - 1)["idx"], F.lit(-1)).alias("last_idx"), F.aggregate("w", F.lit(0).cast("bigint"), lambda a, x: a + x["idx"]).alias("idx_sum"))
+    docs = _read(spark, sf, "documents").where("text is not null").select("doc_id", text.word_starts(F.col("text")).alias("w"))
+    return docs.select("doc_id", F.size("w").alias("words"), F.coalesce(F.try_element_at("w", F.lit(-1)), F.lit(-1).cast("bigint")).alias("last_idx"), F.aggregate("w", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("idx_sum"))
 
 
 def word_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    """Occurrences of every distinct word of the documents."""
     docs = _read(spark, sf, "documents").select(F.explode(text.words(F.col("text"))).alias("word"))
     return docs.groupBy("word").agg(F.count("*").alias("n"))
 
@@ -397,7 +399,15 @@ QUERIES = {
 
 # --- SQL ----------------------------------------------------------------------------
 
-_W = text.WORD.replace("'", "''")
+# Words by script classes and runs, apart from the engine's property table and rules: letters
+# of scripts that do not part words with blanks, and numbers that are no digits, stand alone.
+_ALONE = r"\p{Han}\p{Hiragana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_EXT = r"[\p{M}\x{ad}\x{200d}\x{200c}\x{200e}\x{200f}\x{2060}\x{feff}]*"
+_A, _N, _K, _X = rf"(?:[^\P{{L}}{_ALONE}\p{{Katakana}}]{_EXT}|[\x{{24b6}}-\x{{24e9}}\p{{Nl}}]{_EXT})", rf"(?:[\p{{Nd}}]{_EXT})", rf"(?:[\p{{Katakana}}\x{{30fc}}]{_EXT})", rf"(?:\p{{Pc}}{_EXT})"
+_JA = rf"[-\x{{2010}}\x{{2011}}\x{{fe63}}\x{{ff0d}}:\x{{b7}}\x{{387}}\x{{2027}}\x{{fe13}}\x{{fe55}}\x{{ff1a}}\x{{55f}}'.\x{{2018}}\x{{2019}}\x{{2024}}\x{{fe52}}\x{{ff07}}\x{{ff0e}}]{_EXT}"
+_JN = rf"[,;\x{{37e}}\x{{589}}\x{{60c}}\x{{60d}}\x{{66c}}\x{{2044}}\x{{fe10}}\x{{fe14}}\x{{ff0c}}\x{{ff1b}}'.\x{{2018}}\x{{2019}}\x{{2024}}\x{{fe52}}\x{{ff07}}\x{{ff0e}}]{_EXT}"
+_RUN = rf"(?:{_A}(?:{_A}|{_JA}{_A})*|{_N}(?:{_N}|{_JN}{_N})*)+|{_K}+"
+_W = rf"(?:(?:{_RUN})(?:{_X}+(?:{_RUN})?)*|{_X}+(?:{_RUN})(?:{_X}+(?:{_RUN})?)*|[{_ALONE}\p{{No}}]{_EXT})".replace("'", "''")
 _UP, _LOW, _CASED = case.UPPER, case.LOWER, case.CASED
 _LATEST = "latest as (select * exclude rn from (select *, row_number() over (partition by result_id order by logged_at desc nulls last) rn from accuracy_results) where rn = 1)"
 _LOCALED = f"{_LATEST}, localed as (select l.*, s.locale from latest l join spellers s using (speller_id))"
@@ -444,6 +454,12 @@ p as (select doc_id, unnest(w) as word, unnest(list_slice(g, 1, len(w))) as gap,
 o as (select doc_id, i, sum(strlen(gap)) over (partition by doc_id order by i) + coalesce(sum(strlen(word)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as idx from p),
 s as (select doc_id, max(idx) as last_idx, sum(idx) as idx_sum from o group by doc_id)
 select d.doc_id, len(d.w) as words, coalesce(last_idx, -1) as last_idx, coalesce(idx_sum, 0) as idx_sum from d left join s using (doc_id)""",
+    "cursor_context": f"""with d as (select doc_id, left(text, length(text) // 2) as a, substr(text, length(text) // 2 + 1) as b from documents where text is not null),
+w as (select doc_id, a, b, regexp_extract_all(a, '{_W}') as l, regexp_extract_all(b, '{_W}') as r from d),
+t as (select *, coalesce(suffix(a, l[-1]), false) as e, coalesce(prefix(b, r[1]), false) as s from w)
+select doc_id, case when e then l[-1] else '' end || case when s then r[1] else '' end as word,
+case when e then l[-2] else l[-1] end as first_before, case when e then l[-3] else l[-2] end as second_before,
+case when s then r[2] else r[1] end as first_after, case when s then r[3] else r[2] end as second_after from t""",
     "case_classes": f"with src as (select distinct input as w from accuracy_results where input is not null) select w as input, class as case_class from ({_CLASSED})",
     "grapheme_counts": "select distinct input, length_grapheme(input) as graphemes, length(input) as code_points from accuracy_results where input is not null",
     "input_symbols": f"""with {_ENTRIES}, unk as (select locale, min(sym) as u from symbols where kind = 'unknown' group by locale),

@@ -34,12 +34,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the reliable checkpoint folder and read back, its lineage cut.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``, which all
-    executors share; only where that is unset (as in tests) is a local one made."""
+    executors share.  Where that is unset, a folder of this machine is made only if this
+    machine is all there is; on a cluster it is an error."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wordloom-checkpoint-"))
+        if not folder:
+            if not context._jsc.sc().isLocal():
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="wordloom-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
