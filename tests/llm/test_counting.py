@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wordloom.llm.mixing import mix, rake, source_name
+from wordloom.llm.mixing import mix, rake, source_goals, source_name
 from wordloom.llm.packing import fill_containers, pack_histogram
 from wordloom.llm.quantiles import day_sketches, merge_sketches, percentiles, rank_error
 from wordloom.llm.terms import mark_terms, term_frequencies
@@ -189,3 +189,33 @@ def test_large_sizes_of_one_item_are_paired():
     for _ in range(50):
         sizes = Counter(rng.randrange(34, 51) for _ in range(rng.randrange(1, 40)))
         assert sum(t for t, _ in pack_histogram(100, sizes)) == -(-sizes.total() // 2)
+
+
+def test_scarce_sources_do_not_decide_the_size():
+    tokens, shares, repeats = {"tiny": 60.0, "a": 5e5, "b": 4e5, "none": 1e5}, {"tiny": 0.01, "a": 0.59, "b": 0.4, "absent": 0.1}, {"tiny": 8.0, "a": 1.0, "b": 2.0}
+    got = source_goals(tokens, shares, repeats)
+    assert set(got) == {"tiny", "a", "b"} and got["tiny"] == 480 and got["a"] == pytest.approx(5e5)
+    assert all(abs(g / sum(got.values()) - shares[s]) <= 0.02 for s, g in got.items())
+    exact = source_goals(tokens, shares, repeats, small=0.0)
+    assert sum(exact.values()) == pytest.approx(48_000) and exact["a"] == pytest.approx(48_000 * 0.59)
+    asked = source_goals(tokens, shares, repeats, total=1e6)
+    assert sum(asked.values()) == pytest.approx(1e6) and asked["a"] <= 5e5 and asked["b"] <= 8e5
+    assert sum(source_goals(tokens, shares, repeats, total=1e9).values()) == pytest.approx(480 + 5e5 + 8e5)
+    assert source_goals({}, shares, repeats) == {} and source_goals(tokens, shares, dict.fromkeys(tokens, 0.0)) == {}
+
+
+def test_rake_to_language_and_topic_targets():
+    cells = [(s, l, t) for s in "ab" for l in ("en", "de") for t in "XY"]
+    tokens = np.array([100, 200, 300, 50, 500, 10, 70, 900], float)
+    plan = rake(cells, tokens, {"a": 0.5, "b": 0.5}, {"a": 5, "b": 5}, total=600, langs={"en": 0.75, "de": 0.25}, topics={"X": 0.5, "Y": 0.5})
+    got = plan.weights * tokens
+    assert got[[0, 1, 4, 5]].sum() == pytest.approx(450, rel=0.01) and got[[0, 2, 4, 6]].sum() == pytest.approx(300, rel=0.01) and got[:4].sum() == pytest.approx(300, rel=1e-3)
+
+
+def test_repeats_of_zero_and_null(spark):
+    docs = spark.createDataFrame([(i, "abc"[i % 3], "en", "X", 10) for i in range(600)], "doc_id bigint, source string, lang string, topic string, tokens bigint")
+    targets = spark.createDataFrame([("a", 0.5, 0), ("b", 0.25, None), ("c", 0.25, 3)], "source string, target_share double, max_repeats int")
+    mixture, shares = mix(docs, targets)
+    assert {r["source"] for r in mixture.collect()} == {"b", "c"}
+    by = {r["source"]: r for r in shares.collect()}
+    assert by["a"]["copies"] == 0 and by["a"]["exhausted"] and not by["b"]["exhausted"] and by["b"]["actual_share"] == pytest.approx(0.5, abs=0.02)

@@ -131,7 +131,8 @@ def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     from .tokens import with_tokens
 
     docs = _read(spark, sf, "documents").select("doc_id", source_name(F.col("source")).alias("source"), language_code(F.col("lang")).alias("lang"), F.nullif(F.upper(F.substring(F.trim("ipc"), 1, 1)), F.lit("")).alias("topic"), "text")
-    return mix(checkpointed(with_tokens(docs)), _read(spark, sf, "mix_targets"))
+    targets = _read(spark, sf, "mix_targets").withColumn("source", source_name(F.col("source")))
+    return mix(checkpointed(with_tokens(docs)), targets)
 
 
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,7 +141,7 @@ def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """Target and actual share of each source."""
+    """Target and actual share of each source, and which have too little to reach theirs."""
     return _mix(spark, sf)[1]
 
 
