@@ -61,7 +61,7 @@ def test_percentiles_and_merging(spark):
         assert r["n"] == len(exact) and r["least"] == exact[0] and r["greatest"] == exact[-1]
         for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
             lo, hi = np.searchsorted(exact, r[name], "left") / len(exact), np.searchsorted(exact, r[name], "right") / len(exact)
-            assert lo - 1.5 * rank_error(800) <= p <= hi + 1.5 * rank_error(800)
+            assert lo - rank_error(800) <= p <= hi + rank_error(800)
     nulls = spark.createDataFrame([(1, None), (None, 5), (None, 5)], "g bigint, v bigint")
     assert [(r["g"], r["n"], r["p50"]) for r in percentiles(day_sketches(nulls, ["g"], "v"), {"p50": 0.5}).collect()] == [(None, 2, 5)]
     assert day_sketches(nulls.limit(0), ["g"], "v").count() == 0
@@ -143,6 +143,9 @@ def test_containers(spark):
         sizes = [p for _, n in items if n for p in [capacity] * (n // capacity) + [n % capacity] * (n % capacity > 0)]
         assert len(fill) <= best_fit_decreasing(capacity, sizes) * 1.02 + 1
     assert {r["container_kind"] for r in rows} == {"small", "large"}
+    # frequent sizes in several classes: other ranks, the same bins
+    shape = lambda found: Counter((r["container_kind"], r["bin_id"], r["piece_tokens"], r["bin_tokens"]) for r in found)
+    assert shape(fill_containers(df, kinds, per_task=50).collect()) == shape(rows)
     assert fill_containers(df.limit(0), kinds).count() == 0
     assert fill_containers(df, kinds.limit(0)).count() == 0
     with pytest.raises(ValueError):

@@ -138,15 +138,16 @@ class _Slots:
         return self.base[at] + (rank - self.start[at]) // self.each[at], self.fill[at]
 
 
-def fill_containers(items: DataFrame, containers: DataFrame, *, id_col: str = "doc_id", size_col: str = "tokens", salts: int = 64) -> DataFrame:
+def fill_containers(items: DataFrame, containers: DataFrame, *, id_col: str = "doc_id", size_col: str = "tokens", per_task: int = 200_000) -> DataFrame:
     """One row per container kind and piece: (container_kind, capacity_tokens, bin_id,
     id, piece_no from 0, pieces, piece_tokens, bin_tokens).  ``bin_id`` counts from 0 in
     each kind; ``bin_tokens`` is how full the bin is.
 
     ``containers`` (container_kind, capacity_tokens) is a small table of settings.  To
     the driver comes one row per capacity and size, at most the sum of the capacities.
-    Ranks are counted per size and ``salts`` hash classes, so no size, however frequent,
-    is one task.  A container kind without a positive capacity is left out.
+    Ranks are counted per size and hash class; a size has a class for every ``per_task``
+    of its items, so none, however frequent, is sorted in one task.  A container kind
+    without a positive capacity is left out.
     """
     if id_col in ("container_kind", "capacity_tokens", "bin_id", "piece_no", "pieces", "piece_tokens", "bin_tokens"):
         raise ValueError(f"{id_col} is the name of an output column")
@@ -163,21 +164,31 @@ def fill_containers(items: DataFrame, containers: DataFrame, *, id_col: str = "d
         .withColumn("pieces", F.ceil(F.col("size") / F.col("capacity")).cast("bigint"))
         .withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
         .withColumn("piece", F.least(F.col("capacity"), F.col("size") - F.col("piece_no") * F.col("capacity")))
-        .withColumn("salt", F.pmod(F.xxhash64("id", "piece_no"), F.lit(salts)).cast("int"))
-        .select("which", "piece", "salt", "id", "piece_no", "pieces")
     )
-    per_salt = cut.groupBy("which", "piece", "salt").agg(F.count("*").alias("n"))
     counts = [{} for _ in kinds]
-    for r in per_salt.groupBy("which", "piece").agg(F.sum("n").alias("n")).collect():
+    # the pieces of a size are counted without being made: the full ones, and one rest
+    full, rest = F.floor(F.col("size") / F.col("capacity")), F.col("size") % F.col("capacity")
+    parts = F.array(F.struct(F.col("capacity").alias("piece"), full.cast("bigint").alias("n")), F.struct(rest.alias("piece"), (rest > 0).cast("bigint").alias("n")))
+    tally = sized.groupBy("size").agg(F.count("*").alias("items")).select("size", "items", which.alias("c")).select("size", "items", "c.*")
+    tally = tally.select("which", "items", F.explode(parts).alias("p")).where("p.n > 0").groupBy("which", "p.piece").agg(F.sum(F.col("p.n") * F.col("items")).alias("n"))
+    for r in tally.collect():
         counts[r["which"]][r["piece"]] = r["n"]
     slots = _Slots([(c, pack_histogram(c, counts[i])) for i, (_, c) in enumerate(kinds)])
-    before = Window.partitionBy("which", "piece").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_salt.select("which", "piece", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    ranked = (
-        cut.withColumn("nth", F.row_number().over(Window.partitionBy("which", "piece", "salt").orderBy("id", "piece_no")))
-        .join(offsets, ["which", "piece", "salt"])
-        .select("which", "piece", (F.col("offset") + F.col("nth") - 1).alias("rank"), "id", "piece_no", "pieces")
-    )
+    # one row per capacity and frequent size
+    frequent = [(i, s, -(-n // per_task)) for i, own in enumerate(counts) for s, n in own.items() if n > per_task]
+    if frequent:
+        classes = spark.createDataFrame(frequent, "which bigint, piece bigint, classes bigint")
+        cut = cut.join(classes, ["which", "piece"], "left").withColumn("salt", F.pmod(F.xxhash64("id", "piece_no"), F.coalesce("classes", F.lit(1))).cast("int"))
+    else:
+        cut = cut.withColumn("salt", F.lit(0))
+    cut = cut.select("which", "piece", "salt", "id", "piece_no", "pieces")
+    ranked = cut.withColumn("nth", F.row_number().over(Window.partitionBy("which", "piece", "salt").orderBy("id", "piece_no")))
+    if frequent:
+        before = Window.partitionBy("which", "piece").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+        sums = cut.join(classes.select("which", "piece"), ["which", "piece"], "left_semi").groupBy("which", "piece", "salt").agg(F.count("*").alias("n"))
+        offsets = sums.select("which", "piece", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+        ranked = ranked.join(offsets, ["which", "piece", "salt"], "left").withColumn("nth", F.col("nth") + F.coalesce("offset", F.lit(0)))
+    ranked = ranked.select("which", "piece", (F.col("nth") - 1).alias("rank"), "id", "piece_no", "pieces")
     names = [k for k, _ in kinds]
     capacities = np.array([c for _, c in kinds], np.int32)
 

@@ -94,27 +94,45 @@ def _nanos(time: str) -> F.Column:
     return F.col(f"{time}.secs") * 1_000_000_000 + F.col(f"{time}.subsec_nanos")
 
 
-def _day_sketches(spark: SparkSession, sf: str) -> DataFrame:
-    from .quantiles import day_sketches
-
-    reports = _read(spark, sf, "reports").select("report_id", "speller_id", F.to_date("start_timestamp").alias("day"), _nanos("summary.average_time_95pc").alias("nanos")).dropDuplicates(["report_id"])
-    # a result sent again counts once; the first step spreads by result, not by run
-    results = _read(spark, sf, "accuracy_results").select("result_id", "report_id", "speller_id", _nanos("time").alias("nanos")).dropDuplicates(["result_id"])
+def _lookups(spark: SparkSession, sf: str) -> DataFrame:
+    """(metric, speller_id, day, nanos): lookup times of the results, and the runs' own
+    averages; day is that of the run.  Of a run that came twice the one received last
+    counts, of a result sent again the one logged last."""
+
+    def last(rows: DataFrame, key: str, by: str) -> DataFrame:
+        rest = [c for c in rows.columns if c not in (key, by)]
+        return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(by).isNotNull(), F.col(by), F.struct(*rest))).alias("x")).select(key, "x.*")
+
+    reports = last(_read(spark, sf, "reports").select("report_id", "received_at", "speller_id", F.to_date("start_timestamp").alias("day"), _nanos("summary.average_time_95pc").alias("nanos")), "report_id", "received_at")
+    # the first step spreads by result, not by run
+    results = last(_read(spark, sf, "accuracy_results").select("result_id", "logged_at", "report_id", "speller_id", _nanos("time").alias("nanos")), "result_id", "logged_at")
     lookups = results.join(reports.select("report_id", "day"), "report_id", "left").select(F.lit("time").alias("metric"), "speller_id", "day", "nanos")
-    averages = reports.select(F.lit("average_time_95pc").alias("metric"), "speller_id", "day", "nanos")
-    return day_sketches(lookups.unionByName(averages), ["metric", "speller_id", "day"], "nanos")
+    return lookups.unionByName(reports.select(F.lit("average_time_95pc").alias("metric"), "speller_id", "day", "nanos"))
 
 
 def p4_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles of lookup times per speller and day, and per speller over all days
-    (day null), the latter merged from the days' sketches.  Times in nanoseconds."""
-    from .quantiles import merge_sketches, percentiles
+    """Percentiles of lookup times per speller and day (period 'day'), and per speller over
+    all days ('all', day null), the latter merged from the days' sketches.  A run without a
+    date has a day of its own, null.  Times in nanoseconds."""
+    from .quantiles import day_sketches, merge_sketches, percentiles
 
-    days = _day_sketches(spark, sf)
-    merged = merge_sketches(days, ["metric", "speller_id"]).withColumn("day", F.lit(None).cast("date"))
+    days = day_sketches(_lookups(spark, sf), ["metric", "speller_id", "day"], "nanos").withColumn("period", F.lit("day"))
+    merged = merge_sketches(days, ["metric", "speller_id"]).withColumn("day", F.lit(None).cast("date")).withColumn("period", F.lit("all"))
     return percentiles(days.unionByName(merged), POINTS)
 
 
+def p4_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every percentile over all days of a speller against the exact ranks of all values:
+    (metric, speller_id, point, n, within), whether the rank error is within its bound."""
+    from .quantiles import day_sketches, merge_sketches, percentiles
+
+    values = _lookups(spark, sf).where("nanos is not null")
+    found = percentiles(merge_sketches(day_sketches(values, ["metric", "speller_id", "day"], "nanos"), ["metric", "speller_id"]), POINTS)
+    points = found.select("metric", "speller_id", "rank_error", F.expr(f"stack({len(POINTS)}, {', '.join(f"'{n}', {p}D, {n}" for n, p in POINTS.items())}) as (point, p, value)"))
+    counted = values.join(points, ["metric", "speller_id"]).groupBy("metric", "speller_id", "point").agg(F.count("*").alias("n"), F.first("p").alias("p"), F.first("rank_error").alias("e"), F.count(F.when(F.col("nanos") < F.col("value"), 1)).alias("below"), F.count(F.when(F.col("nanos") <= F.col("value"), 1)).alias("upto"))
+    return counted.select("metric", "speller_id", "point", "n", ((F.col("below") / F.col("n") <= F.col("p") + F.col("e")) & (F.col("upto") / F.col("n") >= F.col("p") - F.col("e"))).alias("within"))
+
+
 def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     """Which documents share a container, and how full it is."""
     from .packing import fill_containers
@@ -168,7 +186,7 @@ def p8_languages(spark: SparkSession, sf: str) -> DataFrame:
     return labelled.select("doc_id", F.col("lang").alias("label"), "main_lang", "main_confidence", F.to_json("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_frequencies, p3_found, p3_normal, p4_percentiles, p6_containers, p7_mixture, p7_shares, p8_found, p8_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_frequencies, p3_found, p3_normal, p4_percentiles, p4_errors, p6_containers, p7_mixture, p7_shares, p8_found, p8_languages)}
 
 _TERMS_SQL = """
 with rows as (
@@ -182,7 +200,16 @@ with rows as (
 )
 """
 
+_ERRORS_SQL = """
+with r as (select report_id, arg_max(speller_id, received_at) as speller_id, arg_max(struct_pack(t := summary.average_time_95pc), received_at).t as t from reports group by report_id),
+a as (select result_id, any_value(speller_id) as speller_id, arg_max(struct_pack(t := time), logged_at).t as t from accuracy_results group by result_id),
+v as (select 'time' as metric, speller_id from a where t is not null union all select 'average_time_95pc', speller_id from r where t is not null),
+p(point) as (values ('p50'), ('p90'), ('p95'), ('p99'))
+select metric, speller_id, point, count(*) as n, true as within from v, p group by all
+"""
+
 ORACLES = {
+    "p4_errors": _ERRORS_SQL,
     "p2_found": _TERMS_SQL + "select field, term, mark from marked where mark is not null",
     "p2_frequencies": _TERMS_SQL + "select field, term, occurrences, records, mark from marked",
 }

@@ -68,12 +68,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = new_record & np.asarray(pc.is_valid(record).to_numpy(zero_copy_only=False), bool)[1:]
         # row i+1 of the batch starts a term where new_term[i]
         cuts = np.flatnonzero(new_term)
-        bounds = np.concatenate([[0], cuts, [len(new_term)]])
         occ = np.add.reduceat(np.concatenate([new_key, [False]]).astype(np.int64), np.concatenate([[0], cuts]))
         rec = np.add.reduceat(np.concatenate([counted, [False]]).astype(np.int64), np.concatenate([[0], cuts]))
         if len(cuts) and cuts[0] == 0:  # the first segment is empty: a term starts at once
             occ[0] = rec[0] = 0
-        del bounds
         occ[0] += term_open[0]
         rec[0] += term_open[1]
         term_open = [int(occ[-1]), int(rec[-1])]
@@ -92,12 +90,30 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows([last["field"], *(e["field"] for e in edges)], [last["term"], *(e["term"] for e in edges)], [term_open[0]] + [0] * len(edges), [term_open[1]] + [0] * len(edges), [None, *map(edge, edges)])
 
 
+#: Bytes of rows, by Spark's estimate, that one partition of the sort may hold.
+PARTITION_BYTES = 256 << 20
+#: An estimate beyond this is none: Spark gives it where it does not know.
+_UNKNOWN_BYTES = 1 << 60
+
+
+def _estimated_bytes(rows: DataFrame) -> int:
+    """The optimiser's estimate of the rows' size; 0 where there is none."""
+    try:
+        n = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # a session without a JVM of its own
+        return 0
+    return n if n < _UNKNOWN_BYTES else 0
+
+
 def term_frequencies(rows: DataFrame, *, field: str = "field", term: str = "term", record: str = "record", keys: list[str], partitions: int | None = None) -> DataFrame:
-    """(field, term, occurrences, records) of every distinct term, compared exactly."""
-    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(field, term, occurrences, records) of every distinct term, compared exactly.
+
+    ``partitions`` of the sort: by default one for each ``PARTITION_BYTES`` that Spark
+    estimates the rows at, and no fewer than the session's shuffle partitions."""
+    n = partitions or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-_estimated_bytes(rows) // PARTITION_BYTES))
     key = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
     src = rows.where((F.col(term).isNotNull()) & (F.col(term) != "")).select(F.col(field).cast("string").alias("field"), F.col(term).alias("term"), F.col(record).cast("string").alias("record"), key.alias("key"))
-    spread = src.withColumn("__n", F.pmod(F.monotonically_increasing_id(), F.lit(61)).cast("int"))
+    spread = src.withColumn("__n", F.pmod(F.monotonically_increasing_id(), F.lit(4 * n)).cast("int"))
     order = ["field", "term", "record", "key", "__n"]
     scanned = spread.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("__n").mapInArrow(_scan, _OUT)
     total = scanned.groupBy("field", "term").agg(F.sum("occurrences").alias("o"), F.sum("records").alias("r"), F.collect_set("edge").alias("edges"))
