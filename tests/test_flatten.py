@@ -69,11 +69,18 @@ def test_tables_against_brute_force(spark):
 WRAPPED = {"a": 1, "l": [{"v": "x", "m": [{"w": 2.0}]}]}
 
 
+def nested(record, times):
+    """Wrapped and written as a string over and over."""
+    for i in range(times):
+        record = json.dumps({"report": record} if i % 2 else {"payload": json.dumps(record)})
+    return record
+
+
 @pytest.mark.parametrize(
     "body, complete",
     [
         (json.dumps(WRAPPED), True), ("﻿" + json.dumps(WRAPPED, indent=2), True), (json.dumps(json.dumps(WRAPPED)), True), (json.dumps({"report": WRAPPED}), True),
-        (json.dumps({"payload": json.dumps(WRAPPED)}), True), (json.dumps(json.dumps({"payload": WRAPPED})), True), (json.dumps([WRAPPED]), True), (json.dumps(WRAPPED)[:-3], False), ("", False), (None, False), ("null", False), ("[1, 2]", False), ("{", False), ("x" * 100_000, False), ("[" * 100_000, False),
+        (json.dumps({"payload": json.dumps(WRAPPED)}), True), (json.dumps(json.dumps({"payload": WRAPPED})), True), (json.dumps([WRAPPED]), True), (nested(WRAPPED, 9), True), (json.dumps([[], "x", {"report": [WRAPPED]}]), True), (json.dumps(WRAPPED)[:-3], False), ("", False), (None, False), ("null", False), ("[1, 2]", False), ("{", False), ("x" * 100_000, False), ("[" * 100_000, False),
     ],
 )
 def test_writings(body, complete):
@@ -135,3 +142,18 @@ def test_report_is_whole(spark):
     assert rows("metadata.info.title") == [(0, "se", "a"), (2, None, "b")]
     assert rows("metadata.acceptor.title") == [(0, "se", "a")] and rows("metadata.errmodel.title") == [(0, "fi", "z")]
     assert rows("results.note.seen_by") == [(1, 0, "viewer"), (1, 2, '{"tab": 5}')]
+
+
+def test_lists_of_records_and_single_tables(spark):
+    two = [WRAPPED, {"a": 2, "l": json.dumps(json.dumps(json.dumps(json.dumps(json.dumps(json.dumps([{"v": "y"}]))))))}]
+    df = spark.createDataFrame([(1, json.dumps(two), 9), (2, "[]", 9), (3, json.dumps(WRAPPED), 9)], "id bigint, body string, record_no int")
+    shredded = flatten.shred_json(df, SCHEMA)
+    assert [(r["id"], r["record_no"], r["complete"]) for r in shredded.select("id", "record_no", "complete").orderBy("id", "record_no").collect()] == [(1, 0, True), (1, 1, True), (2, None, False), (3, 0, True)]
+    for ancestor in ("", "l", "l.m", "l.m.d", "n"):
+        alone = flatten.shred_json(df, SCHEMA, only=ancestor)
+        assert len(alone.columns) < len(shredded.columns)
+        a, b = (sorted(map(str, flatten.table(x, SCHEMA, ancestor, keys=["id", "record_no"]).collect())) for x in (alone, shredded))
+        assert a == b
+    assert [r["v"] for r in flatten.table(shredded, SCHEMA, "l", keys=["id"]).where("id = 1").orderBy("v").collect()] == ["x", "y"]
+    plan = flatten.table(flatten.first_copies(flatten.shred_json(df, SCHEMA, only="l"), "id", ["record_no"]), SCHEMA, "l", keys=["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and plan.count("Scan") == 1

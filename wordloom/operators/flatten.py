@@ -14,8 +14,10 @@ and their keys into every ancestor, come from the level sequences alone.
 Producers differ: a byte order mark, the record or a part of it as a JSON string, a
 wrapper object around the record, one object where a list belongs, and other
 spellings of a name (``weight-details``, ``weightDetails``) are all understood.  A lone
-object counts as a list of one; null elements keep their place.  A body that is null,
-empty, broken off or no object has ``complete`` false and no entries.
+object counts as a list of one; null elements keep their place.  Strings and wrappers may
+be nested at any depth, and a list of records gives a row each, numbered by ``record_no``.
+A body that is null, empty, broken off or without a record has ``complete`` false and no
+entries.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,47 +74,54 @@ def schema_tree(schema: T.StructType, path: str = "", repetition: int = 0, defin
     return nodes
 
 
+@lru_cache(maxsize=4096)
 def _plain(name: str) -> str:
     """snake_case of a field name."""
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).replace("-", "_").lower()
 
 
+_BLANK = "\ufeff \t\r\n"
+
+
 def _opened(value: object) -> object:
-    """A string that holds a JSON object or list, as that; nested at most a few times."""
-    for _ in range(4):
-        if not isinstance(value, str) or value.lstrip("﻿ \t\r\n")[:1] not in ("{", "[", '"'):
-            break
+    """A string that holds a JSON object, list or string, as that, however often it is
+    written so: each time it gets shorter."""
+    while isinstance(value, str) and value.lstrip(_BLANK)[:1] in ("{", "[", '"'):
         try:
-            value = json.loads(value.lstrip("﻿ \t\r\n"))
-        except ValueError:
+            value = json.loads(value.lstrip(_BLANK))
+        except (ValueError, RecursionError):
             break
     return value
 
 
-def parse_record(body: str | None, nodes: list[Node], wrappers: tuple[str, ...] = WRAPPERS) -> dict | None:
-    """The record of a body, out of its wrappers; None if it is not complete."""
+def parse_records(body: str | None, nodes: list[Node], wrappers: tuple[str, ...] = WRAPPERS) -> list[dict]:
+    """The records of a body in order, out of their lists and wrappers; none if it is not
+    complete.  What is neither record nor wrapper, in a list, is passed over."""
     if not body:
-        return None
+        return []
     try:
-        value = json.loads(body.lstrip("﻿ \t\r\n"))
+        todo = [json.loads(body.lstrip(_BLANK))]
     except (ValueError, RecursionError):
-        return None
+        return []
     known = {n.name for n in nodes}
-    for _ in range(6):
-        value = _opened(value)
-        if isinstance(value, list) and len(value) == 1:
-            value = value[0]
-            continue
-        if not isinstance(value, dict):
-            return None
-        named = {_plain(k): v for k, v in value.items()}
-        if not known & named.keys():
+    found = []
+    while todo:
+        value = _opened(todo.pop())
+        if isinstance(value, list):
+            todo += reversed(value)
+        elif isinstance(value, dict):
+            named = {_plain(k): v for k, v in value.items()}
             inner = [v for k, v in named.items() if k in wrappers]
-            if len(inner) == 1:
-                value = inner[0]
-                continue
-        return named
-    return None
+            if known & named.keys() or len(inner) != 1:
+                found.append(named)
+            else:
+                todo.append(inner[0])
+    return found
+
+
+def parse_record(body: str | None, nodes: list[Node], wrappers: tuple[str, ...] = WRAPPERS) -> dict | None:
+    """The first record of a body; None if it is not complete."""
+    return next(iter(parse_records(body, nodes, wrappers)), None)
 
 
 def _leaf(value: object, kind: T.DataType) -> object:
@@ -187,18 +197,35 @@ def _leaf_type(node: Node) -> T.DataType:
     return T.StringType() if name not in _ARROW else T.LongType() if name == "int" else T.DoubleType() if name == "float" else node.kind
 
 
-def shred_json(rows: DataFrame, schema: T.StructType, *, body: str = "body", keep: list[str] | None = None, wrappers: tuple[str, ...] = WRAPPERS) -> DataFrame:
-    """One row per input row: the columns ``keep``, ``complete``, and one struct column
-    per leaf path (dots as ``__``) with the arrays r, d (levels) and v (values)."""
-    keep = keep if keep is not None else [c for c in rows.columns if c != body]
+def _pruned(nodes: list[Node], wanted: set[str]) -> list[Node]:
+    """The nodes that lead to the wanted leaves."""
+    out = []
+    for n in nodes:
+        if n.children:
+            if below := _pruned(n.children, wanted):
+                out.append(replace(n, children=below))
+        elif n.path in wanted:
+            out.append(n)
+    return out
+
+
+def shred_json(rows: DataFrame, schema: T.StructType, *, body: str = "body", keep: list[str] | None = None, wrappers: tuple[str, ...] = WRAPPERS, only: str | None = None) -> DataFrame:
+    """One row per record, or per body without one: the columns ``keep``, ``complete``,
+    ``record_no`` (place of the record in its body, null without one), and one struct column
+    per leaf path (dots as ``__``) with the arrays r, d (levels) and v (values).
+
+    ``only``: an ancestor whose :func:`table` is all that is wanted; other leaves are not
+    made.  By default all columns are kept but the body and any named like an output."""
+    keep = keep if keep is not None else [c for c in rows.columns if c not in (body, "complete", "record_no")]
     nodes = schema_tree(schema)
-    leaves = [leaf for n in nodes for leaf in n.leaves()]
+    chosen = nodes if only is None else _pruned(nodes, {n.path for n in _columns(schema, only)[1]})
+    leaves = [leaf for n in chosen for leaf in n.leaves()]
     src = rows.select(*keep, F.col(body).cast("string").alias("__body"))
 
     def column(leaf: Node) -> T.StructType:
         return T.StructType([T.StructField("r", T.ArrayType(T.ByteType())), T.StructField("d", T.ArrayType(T.ByteType())), T.StructField("v", T.ArrayType(_leaf_type(leaf)))])
 
-    out = T.StructType([*(src.schema[c] for c in keep), T.StructField("complete", T.BooleanType()), *(T.StructField(leaf.path.replace(".", "__"), column(leaf)) for leaf in leaves)])
+    out = T.StructType([*(src.schema[c] for c in keep), T.StructField("complete", T.BooleanType()), T.StructField("record_no", T.IntegerType()), *(T.StructField(leaf.path.replace(".", "__"), column(leaf)) for leaf in leaves)])
     kinds = {leaf.path: _ARROW[_leaf_type(leaf).simpleString()] for leaf in leaves}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,23 +233,25 @@ def shred_json(rows: DataFrame, schema: T.StructType, *, body: str = "body", kee
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 flat: Columns = {leaf.path: ([], [], []) for leaf in leaves}
-                ends, whole = [0], []
+                owner, place = [], []
                 counts = {leaf.path: [0] for leaf in leaves}
-                for text in part.column(len(keep)).to_pylist():
-                    record = parse_record(text, nodes, wrappers)
-                    whole.append(record is not None)
-                    if record is not None:
-                        shred(record, nodes, flat)
-                    for path, c in counts.items():
-                        c.append(len(flat[path][0]))
-                    ends.append(0)
+                for row, text in enumerate(part.column(len(keep)).to_pylist()):
+                    for number, record in enumerate(parse_records(text, nodes, wrappers) or [None]):
+                        owner.append(row)
+                        place.append(None if record is None else number)
+                        if record is not None:
+                            shred(record, chosen, flat)
+                        for path, c in counts.items():
+                            c.append(len(flat[path][0]))
                 arrays = []
                 for leaf in leaves:
                     r, d, v = flat[leaf.path]
                     offsets = pa.array(counts[leaf.path], pa.int32())
                     lists = [pa.ListArray.from_arrays(offsets, pa.array(r, pa.int8())), pa.ListArray.from_arrays(offsets, pa.array(d, pa.int8())), pa.ListArray.from_arrays(offsets, pa.array(v, kinds[leaf.path]))]
                     arrays.append(pa.StructArray.from_arrays(lists, names=["r", "d", "v"]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(whole, pa.bool_()), *arrays], names=[f.name for f in out.fields])
+                take = pa.array(owner, pa.int64())
+                number = pa.array(place, pa.int32())
+                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in part.columns[:-1]), number.is_valid(), number, *arrays], names=[f.name for f in out.fields])
 
     return src.mapInArrow(run, out)
 
@@ -231,24 +260,15 @@ def ordinals(reps: np.ndarray, depth: int) -> list[np.ndarray]:
     """0-based place of each entry at repetition levels 1..depth, from repetition levels."""
     places = []
     for level in range(1, depth + 1):
-        new = reps <= level
         # entries that begin an element of this level, counted since its parent began
         count = np.cumsum(reps == level)
         start = np.maximum.accumulate(np.where(reps < level, np.arange(len(reps)), 0))
         places.append(count - count[start])
-        del new
     return places
 
 
-def table(shredded: DataFrame, schema: T.StructType, ancestor: str, *, keys: list[str], with_null_elements: bool = False) -> DataFrame:
-    """The flat table of one repeated (or optional) ancestor.
-
-    ``ancestor``: path of a list or object ('' for the record).  A row per present element:
-    the columns ``keys`` of the input row, ``<list>_no`` for each list on the way (the
-    ancestor included), and the leaves directly or by objects below it, named by their path
-    from the ancestor.  Null elements have no row unless ``with_null_elements``; they keep
-    their number either way.
-    """
+def _columns(schema: T.StructType, ancestor: str) -> tuple[list[Node], list[Node]]:
+    """The nodes on the way to an ancestor, and the leaves of its table."""
     every: dict[str, Node] = {}
 
     def walk(nodes: list[Node]) -> None:
@@ -259,11 +279,7 @@ def table(shredded: DataFrame, schema: T.StructType, ancestor: str, *, keys: lis
     walk(schema_tree(schema))
     parts = ancestor.split(".") if ancestor else []
     chain = [every[".".join(parts[: i + 1])] for i in range(len(parts))]
-    lists = [n for n in chain if n.repeated]
-    depth = len(lists)
-    level = chain[-1].definition if chain else 0
-    if with_null_elements and chain and chain[-1].repeated:
-        level -= 1
+    depth = sum(n.repeated for n in chain)
     if chain and chain[-1].repeated and not chain[-1].children:
         # a list of plain values: the element is the row's only column
         below = [chain[-1]]
@@ -271,6 +287,24 @@ def table(shredded: DataFrame, schema: T.StructType, ancestor: str, *, keys: lis
         below = [n for n in every.values() if not n.children and not n.repeated and n.repetition == depth and (n.path.startswith(ancestor + ".") if ancestor else True)]
     if not below:
         raise ValueError(f"{ancestor or 'the record'} has no leaves of its own")
+    return chain, below
+
+
+def table(shredded: DataFrame, schema: T.StructType, ancestor: str, *, keys: list[str], with_null_elements: bool = False) -> DataFrame:
+    """The flat table of one repeated (or optional) ancestor.
+
+    ``ancestor``: path of a list or object ('' for the record).  A row per present element:
+    the columns ``keys`` of the input row, ``<list>_no`` for each list on the way (the
+    ancestor included), and the leaves directly or by objects below it, named by their path
+    from the ancestor.  Null elements have no row unless ``with_null_elements``; they keep
+    their number either way.
+    """
+    chain, below = _columns(schema, ancestor)
+    lists = [n for n in chain if n.repeated]
+    depth = len(lists)
+    level = chain[-1].definition if chain else 0
+    if with_null_elements and chain and chain[-1].repeated:
+        level -= 1
     src = shredded.where("complete").select(*keys, *[n.path.replace(".", "__") for n in below])
     name = {n.path: n.name if n.path == ancestor else n.path[len(ancestor) + 1 if ancestor else 0 :].replace(".", "_") for n in below}
     out = T.StructType([*(shredded.schema[k] for k in keys), *(T.StructField(f"{n.name}_no", T.IntegerType()) for n in lists), *(T.StructField(name[n.path], _leaf_type(n)) for n in below)])
@@ -367,11 +401,10 @@ REPORT = T.StructType(
 
 
 def first_copies(shredded: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first complete row of each key, by ``order``: copies of a record are equal in
-    content, so one stands for all.  The choice is made on keys alone."""
-    chosen = shredded.where("complete").groupBy(key).agg(F.min(F.struct(*order)).alias("__first"))
-    same = [shredded[c].eqNullSafe(chosen["__first"][c]) for c in order]
-    cond = shredded[key].eqNullSafe(chosen[key])
-    for s in same:
-        cond = cond & s
-    return shredded.join(chosen, cond, "left_semi")
+    """The complete rows that come first for their key, by ``order``: copies of a record
+    are equal in content, so one stands for all; records of one body stay together.
+
+    One pass: Spark keeps only the first of each key on the map side, so a key with many
+    copies does not meet in one task."""
+    place = F.rank().over(Window.partitionBy(key).orderBy(*order))
+    return shredded.where("complete").withColumn("__place", place).where("__place = 1").drop("__place")

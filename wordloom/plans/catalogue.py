@@ -26,18 +26,19 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 # --- nested records -----------------------------------------------------------------
 
 
-def _shredded(spark: SparkSession, sf: str) -> DataFrame:
-    return flatten.shred_json(_read(spark, sf, "report_raw"), flatten.REPORT, keep=["raw_id", "report_id", "received_at"])
+def _shredded(spark: SparkSession, sf: str, ancestor: str) -> DataFrame:
+    return flatten.shred_json(_read(spark, sf, "report_raw"), flatten.REPORT, keep=["raw_id", "report_id", "received_at"], only=ancestor)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """(report_id, result_no, suggestion_no) of every suggestion with weight details."""
-    details = flatten.table(_shredded(spark, sf), flatten.REPORT, "results.suggestions.weight_details", keys=["report_id"])
+    ancestor = "results.suggestions.weight_details"
+    details = flatten.table(_shredded(spark, sf, ancestor), flatten.REPORT, ancestor, keys=["report_id"])
     return details.select("report_id", F.col("results_no").alias("result_no"), F.col("suggestions_no").alias("suggestion_no")).distinct()
 
 
 def _flat(spark: SparkSession, sf: str, ancestor: str) -> DataFrame:
-    one = flatten.first_copies(_shredded(spark, sf), "report_id", ["received_at", "raw_id"])
+    one = flatten.first_copies(_shredded(spark, sf, ancestor), "report_id", ["received_at", "raw_id"])
     return flatten.table(one, flatten.REPORT, ancestor, keys=["report_id"])
 
 
