@@ -52,9 +52,51 @@ def test_long_values():
 
 def test_frames(spark):
     rows = [(1, "grÃ¼n", "de", DE, "x"), (1, "grÃ¼n", "de", DE, "x"), (2, "grün", "de", DE, "x"), (3, None, "de", DE, "x"), (4, "", None, None, None), (5, "grÃ¼n", None, None, None)]
-    rows += [(10 + i, "Ñuble", f"l{i}", PL, "x") for i in range(6)] + [(20, "¿aba", "pl", PL, "x")]
+    # a name that locales show which no code page explains it in, and a letter lost to a code page
+    rows += [(10 + i, "Ñuble", f"l{i}", PL if i % 2 else RU, "x") for i in range(6)] + [(20, "¿aba", "pl", PL, "x")]
     df = spark.createDataFrame(rows, "id bigint, text string, locale string, alphabet string, restored string")
     got = find_garbled(df)
     assert got.columns == ["id", "text", "locale", "restored", "pairs", "lost"]
     assert sorted((r["id"], r["restored"]) for r in got.collect()) == [(1, "grün"), (1, "grün"), (5, "grün"), (20, "żaba")]
     assert find_garbled(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("before", [0, 1, 26, 27, 505, 509, 511, 100_000])
+def test_damage_at_any_place(before):
+    for read in ("cp1252", "cp437"):
+        got = garbles(DE).label("a" * before + wrong("smörgüs", "utf-8", read) + "b" * before)
+        assert got[0] == "a" * before + "smörgüs" + "b" * before
+    words = "ab " * before
+    assert garbles(DE).label(words + wrong("schöne grüße", "cp1252", "mac_roman") + " " + words)[0] == words + "schöne grüße " + words
+
+
+def test_whole_text_garbled_and_long():
+    text = "schön größer Übel " * 3000
+    assert garbles(DE).label(wrong(text, "utf-8", "cp1252"))[0] == text
+    assert garbles(RU).label(wrong("привет мир " * 300, "cp1251", "cp1252"))[0] == "привет мир " * 300
+
+
+def test_a_code_page_in_part_of_the_words():
+    assert garbles(PL).label("¿aba łąki")[0] == "żaba łąki"
+    assert garbles(PL).label("łąki ¿aba")[0] == "łąki żaba"
+    # within a word it changes every letter that it can change
+    assert garbles(PL).label("¿abą") is None
+
+
+def test_text_beside_the_damage_is_left_alone():
+    loose = "e\u0301 "
+    assert garbles(DE).label(loose + wrong("grün", "utf-8", "cp1252") + " " + loose)[0] == loose + "grün " + loose
+    assert garbles(DE).label("gru" + wrong("\u0308n", "utf-8", "cp1252"))[0] == "grün"
+
+
+def test_a_widespread_fault_does_not_hide_itself(spark):
+    word = wrong("zażółć", "cp1250", "cp1252")
+    for locales in (1, 4, 10):
+        rows = [(i, word if i < locales else "grób", f"l{i}", PL) for i in range(10)]
+        df = spark.createDataFrame(rows, "id bigint, text string, locale string, alphabet string")
+        assert {(r["id"], r["restored"]) for r in find_garbled(df).collect()} == {(i, "zażółć") for i in range(locales)}
+    # as common where no code page explains it: a foreign name, at any size
+    for times in (1, 20):
+        rows = [(i, "Ñuble", "pl", PL) for i in range(times)] + [(i, "Ñuble", "ru", RU) for i in range(times)] + [(i, "grób", "pl", PL) for i in range(9 * times)] + [(i, "мир", "ru", RU) for i in range(9 * times)]
+        df = spark.createDataFrame(rows, "id bigint, text string, locale string, alphabet string")
+        assert find_garbled(df).count() == 0

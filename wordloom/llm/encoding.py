@@ -14,21 +14,32 @@ changes after the damage, control characters that were dropped and no-break spac
 that became blanks are variants of the units.  U+FFFD is a unit whose original is
 lost; it is reported, but restored to itself.
 
+A value of any length is labelled whole: between two units so far apart that leaving a
+pair state and coming back costs no more than staying, the chain is clean, so what lies
+between such places is labelled by itself; only the histories still alive are kept.
+
+The state of a code page holds for whole words: it is entered and left at a blank, a
+hyphen or an end, and a letter that it would have changed, or that its locale does not
+write, cannot stand in it.
+
 Nulls and empty values are clean.  A locale without an alphabet has only the
 UTF-8 pairs.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Encodings with which UTF-8 text is wrongly read.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "iso8859-2", "iso8859-15", "cp437", "cp850", "cp852", "cp866", "mac_roman", "mac_cyrillic", "koi8-r")
 # Encodings with which text in another code page is wrongly read.
@@ -42,10 +53,13 @@ COMMON_SIGNS = "½±№≈βΔ™€°§«»²³µ–—’‘“”„…·×÷
 
 # Costs in bits.
 LETTER, OUTSIDE, FOREIGN, MIMIC, CAPITAL = 4.0, 5.0, 16.0, 9.0, 0.5
-UNIT, FOLDED, DROPPED, SIGN = 2.0, 1.0, 2.0, 3.0
-ENTER, LEAVE, WITHIN, UNTOUCHED = 6.0, 2.0, 0.3, 5.0
+# A code page turns each of its letters into one character and cannot leave it as it is.
+UNIT, CODED, FOLDED, DROPPED, SIGN = 2.0, 1.0, 1.0, 2.0, 3.0
+ENTER, LEAVE, WITHIN, BETWEEN, UNTOUCHED = 6.0, 2.0, 0.3, 2.0, 5.0
 LOST = "�"
-LONGEST = 512
+# Plain characters (for code pages: blanks and hyphens) over which staying in a pair state
+# costs as much as leaving and coming back.
+APART, WORDS_APART = math.ceil((ENTER + LEAVE) / WITHIN), math.ceil((ENTER + LEAVE) / BETWEEN)
 
 
 def _read(data: bytes, encoding: str) -> str:
@@ -131,10 +145,10 @@ class Garbles:
                     continue
                 pair = tables[key] = len(self.pairs)
                 self.pairs.append(f"{page} as {w}")
-                self.changed[pair] = frozenset(forms) - frozenset(forms.values())
+                self.changed[pair] = frozenset(forms)
                 for c, g in forms.items():
                     if not g.isascii():
-                        self.units.setdefault(g, {})[pair] = (UNIT, c)
+                        self.units.setdefault(g, {})[pair] = (CODED, c)
         self.lengths: dict[str, list[int]] = {}
         for u in (*self.utf8, *self.units):
             self.lengths.setdefault(u[0], []).append(len(u))
@@ -170,106 +184,120 @@ class Garbles:
         return runs
 
     def label(self, text: str) -> tuple[str, list[str], bool] | None:
-        """(restored text, pairs found, whether only few characters speak for it), or
-        None if the whole text is clean.  A value of more than ``LONGEST`` characters is
-        labelled in stretches of whole words (or of that length, where a word is longer)."""
-        if len(text) > LONGEST:
-            return self._label_long(text)
+        """(restored text, pairs found, whether code-page pairs alone speak for it), or None
+        if the whole text is clean."""
+        names: dict[str, int] = {}
+        units = self._candidates(text, names)
+        coded = any(self.legacy(u[2]) for u in units)
+        used: list[tuple[int, int, int, str]] = []
+        first = 0
+        while first < len(units):
+            last, reach = first, units[first][1]
+            while last + 1 < len(units) and self._near(text, reach, units[last + 1][0], coded):
+                last += 1
+                reach = max(reach, units[last][1])
+            used += self._chain(text, units[first : last + 1], reach)
+            first = last + 1
+        if not used or all(text[a:b] in self.alphabet for a, b, _, _ in used):
+            return None
+        name = {v: k for k, v in names.items()}
+        found = [name.get(s) or self.pairs[s] for s in dict.fromkeys(s for _, _, s, _ in used)]
+        weak = all(s >= 0 and self.legacy(s) for _, _, s, _ in used)
+        out, at = [], 0
+        for a, b, _, original in used:
+            if a > at:
+                out.append(text[at:a])
+            # a mark that was coded by itself joins the letter before it
+            if out and unicodedata.combining(original[0]):
+                out[-1] = out[-1][:-1] + unicodedata.normalize("NFC", out[-1][-1:] + original)
+            else:
+                out.append(original)
+            at = b
+        return "".join(out) + text[at:], found, weak
+
+    @staticmethod
+    def _near(text: str, a: int, b: int, coded: bool) -> bool:
+        """Whether a pair state may be worth keeping over the plain characters text[a:b]."""
+        if b - a < APART:
+            return True
+        return coded and text.count(" ", a, b) + text.count("-", a, b) < WORDS_APART
+
+    def _candidates(self, text: str, names: dict[str, int]) -> list[tuple[int, int, int, float, str]]:
+        """(start, end, pair, bits, original) of all units in the text, in order; pairs of
+        UTF-16 are numbered below 0 in ``names``."""
+        units = []
         n = len(text)
-        at: list[list[tuple[int, int, float, str]]] = [[] for _ in range(n)]  # ending before i+length
-        pairs: set[int] = set()
         for i, c in enumerate(text):
             for size in self.lengths.get(c, ()):
                 if i + size <= n:
                     for pair, cost, original in self._found(text[i : i + size]):
-                        if self.legacy(pair) and not self._in_word(text, i, size):
-                            continue
-                        at[i].append((size, pair, cost, original))
-                        pairs.add(pair)
-        wide = self._wide_runs(text)
-        names = {}
-        for start, end, name, original in wide:
-            key = names.setdefault(name, -1 - len(names))
-            at[start].append((end - start, key, LETTER * len(original) + UNIT, original))
-            pairs.add(key)
-        if not pairs:
-            return None
+                        if not self.legacy(pair) or self._in_word(text, i, size):
+                            units.append((i, i + size, pair, cost, original))
+        for start, end, name, original in self._wide_runs(text):
+            units.append((start, end, names.setdefault(name, -1 - len(names)), LETTER * len(original) + UNIT, original))
+        return sorted(units, key=lambda u: u[0])
+
+    def _chain(self, text: str, units: list[tuple[int, int, int, float, str]], end: int) -> list[tuple[int, int, int, str]]:
+        """Viterbi over the text from the first unit to ``end``, clean before and after it:
+        (start, end, pair, original) of the units on the cheapest path."""
         inf = float("inf")
-        states = sorted(pairs)
-        # best[i][s]: bits of text[:i] ending in state s; back[i][s]: (from i, state, original or None)
-        best = [dict.fromkeys([None, *states], inf) for _ in range(n + 1)]
-        back: list[dict] = [{} for _ in range(n + 1)]
-        best[0][None] = 0.0
-        for i in range(n):
-            here = best[i]
+        states = sorted({u[2] for u in units})
+        begin = units[0][0]
+        # code pages: from the start of the first word, as their states hold for whole words
+        if any(self.legacy(s) for s in states):
+            while begin and text[begin - 1] not in " -":
+                begin -= 1
+            while end < len(text) and text[end] not in " -":
+                end += 1
+        # a history is a chain of the units used: (earlier, start, end, pair, original)
+        ahead: dict[int, dict[int | None, tuple[float, tuple | None]]] = {begin: {None: (0.0, None)}}
+        at = 0
+        for i in range(begin, end + 1):
+            here = ahead.pop(i)
+            edge = i == 0 or i == len(text) or text[i] in " -" or text[i - 1] in " -"
             # entering and leaving a pair state emit nothing
-            low, frm = min(((here[s] + LEAVE, s) for s in states), key=lambda x: x[0])
-            if low < here[None]:
-                here[None] = low
-                back[i][None] = (i, frm, None)
+            clean = here.get(None, (inf, None))
+            for s in states:
+                if s in here and here[s][0] + LEAVE < clean[0] and (edge or not self.legacy(s)):
+                    clean = (here[s][0] + LEAVE, here[s][1])
+            if i == end:
+                break
+            here[None] = clean
             for s in states:
-                if here[None] + ENTER < here[s]:
-                    here[s] = here[None] + ENTER
-                    back[i][s] = (i, None, None)
+                if (s not in here or clean[0] + ENTER < here[s][0]) and (edge or not self.legacy(s)):
+                    here[s] = (clean[0] + ENTER, clean[1])
             c = text[i]
-            clean = _clean_cost(c, self.alphabet)
-            if here[None] + clean < best[i + 1][None]:
-                best[i + 1][None] = here[None] + clean
-                back[i + 1][None] = (i, None, c)
+            cost = _clean_cost(c, self.alphabet)
+            nxt = ahead.setdefault(i + 1, {})
+
+            def come(to: dict, s: int | None, bits: float, history: tuple | None) -> None:
+                if s not in to or bits < to[s][0]:
+                    to[s] = (bits, history)
+
+            come(nxt, None, clean[0] + cost, clean[1])
             for s in states:
-                # a code page leaves ASCII alone, and nothing else; it came from the locale
-                far = c > "\x7f" or (self.legacy(s) and c.isalpha() and c not in self.alphabet)
-                cost = here[s] + clean + WITHIN + (UNTOUCHED if far else 0)
-                if cost < best[i + 1][s]:
-                    best[i + 1][s] = cost
-                    back[i + 1][s] = (i, s, c)
-            for size, pair, cost, original in at[i]:
-                if here[pair] + cost < best[i + size][pair]:
-                    best[i + size][pair] = here[pair] + cost
-                    back[i + size][pair] = (i, pair, (original,))
-        state = min(best[n], key=lambda s: best[n][s] + (0 if s is None else LEAVE))
-        i, out, used, units, out_clean, out_units = n, [], [], 0, [], []
-        while i or state is not None:
-            j, frm, what = back[i][state]
-            if isinstance(what, tuple):
-                out.append(what[0])
-                out_units.append(text[j:i])
-                used.append(state)
-                units += 1
-            elif what is not None:
-                out.append(what)
-                out_clean.append(what)
-            i, state = j, frm
-        if not units or all(u in self.alphabet for u in out_units):
-            return None
-        name = {v: k for k, v in names.items()}
-        found = [name.get(s) or self.pairs[s] for s in dict.fromkeys(reversed(used))]
-        weak = all(s >= 0 and self.legacy(s) for s in used)
-        restored = unicodedata.normalize("NFC", "".join(reversed(out)))
-        # a wrong code page changes every letter that it can change
-        if weak:
-            rest = {c for c in out_clean if c > "\x7f"}
-            if any(c in self.changed[s] for s in set(used) for c in rest):
-                return None
-        # text that came in a code page of the locale has words of its letters only
-        if weak and any(not w.isascii() and any(c.isalpha() and c not in self.alphabet for c in w) for w in re.split("[ -]", restored)):
-            return None
-        return restored, found, weak
-
-    def _label_long(self, text: str) -> tuple[str, list[str], bool] | None:
-        out, found, weak, hit, at = [], [], True, False, 0
-        while at < len(text):
-            end = min(len(text), at + LONGEST)
-            if end < len(text) and (space := text.rfind(" ", at + 1, end)) > at:
-                end = space
-            piece = text[at:end]
-            new = self.label(piece)
-            out.append(new[0] if new else piece)
-            if new:
-                hit, weak = True, weak and new[2]
-                found += [p for p in new[1] if p not in found]
-            at = end
-        return ("".join(out), found, weak) if hit else None
+                if s not in here:
+                    continue
+                bits, history = here[s]
+                if not self.legacy(s):
+                    come(nxt, s, bits + cost + WITHIN + (UNTOUCHED if c > "\x7f" else 0), history)
+                elif c in self.alphabet:
+                    # a letter that the code page leaves as it is
+                    if c not in self.changed[s]:
+                        come(nxt, s, bits + cost, history)
+                elif not c.isalpha():
+                    come(nxt, s, bits + cost + (BETWEEN if c in " -" else UNTOUCHED if c > "\x7f" else 0), history)
+            while at < len(units) and units[at][0] == i:
+                _, stop, s, cost, original = units[at]
+                if s in here:
+                    come(ahead.setdefault(stop, {}), s, here[s][0] + cost, (here[s][1], i, stop, s, original))
+                at += 1
+        out = []
+        history = clean[1]
+        while history is not None:
+            history, *unit = history
+            out.append(tuple(unit))
+        return out[::-1]
 
     def _in_word(self, text: str, i: int, size: int) -> bool:
         """Whether a letter, or another suspect character, is next to text[i:i+size]."""
@@ -282,7 +310,7 @@ def garbles(alphabet: str) -> Garbles:
     return Garbles(frozenset(alphabet))
 
 
-def find_garbled(values: DataFrame, *, text_col: str = "text", alphabet_col: str = "alphabet", locale_col: str = "locale", keep: list[str] | None = None, home_share: float = 0.2) -> DataFrame:
+def find_garbled(values: DataFrame, *, text_col: str = "text", alphabet_col: str = "alphabet", locale_col: str = "locale", keep: list[str] | None = None, odds: float = 20.0) -> DataFrame:
     """Rows of ``values`` whose text is wholly or partly garbled: the columns ``keep``
     (default: all but the alphabet) with ``restored`` and ``pairs`` (names of the
     encoding pairs), ``lost`` (whether U+FFFD remains).
@@ -290,45 +318,42 @@ def find_garbled(values: DataFrame, *, text_col: str = "text", alphabet_col: str
     Input columns named like an output column are left out of the default.
 
     ``alphabet_col`` holds the letters of the row's locale as one string.  Values within
-    alphabet and ASCII never leave the JVM.  A word of a foreign name can look like one
-    wrong letter in some code page; a value for which only code-page pairs speak is
-    dropped if the very same string stands in more than ``home_share`` of the locales
-    (half of them if it is shorter than four characters, as such strings collide).
+    alphabet and ASCII never leave the JVM, and each distinct (text, locale) is labelled
+    once.  A word of a foreign name can look like one wrong letter in some code page.  How
+    often a string stands where no code page explains it tells how often it is to be
+    expected as such a name: a value for which only code-page pairs speak is garbled if its
+    locale has it more than ``odds`` times as often.  These are rates, so the number of rows
+    and how many locales happen to show a string do not matter.
     """
     keep = keep if keep is not None else [c for c in values.columns if c not in (alphabet_col, "restored", "pairs", "lost")]
-    letters = F.coalesce(F.col(alphabet_col), F.lit(""))
     rest = F.expr(f"translate(regexp_replace({text_col}, '[\\\\x00-\\\\x7f]', ''), coalesce({alphabet_col}, ''), '')")
-    odd = values.where(F.length(rest) > 0)
-    src = odd.select(*keep, F.col(text_col).alias("__text"), letters.alias("__alphabet"), F.col(locale_col).alias("__locale"))
-    schema = src.select(*keep).schema
-    out_type = "restored string, pairs array<string>, lost boolean, __weak boolean, __text string, __home string"
-    full = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields] + [out_type])
+    odd = values.where(F.length(rest) > 0).select(*keep, F.col(text_col).cast("string").alias("__text"), F.coalesce(F.col(alphabet_col), F.lit("")).alias("__alphabet"), F.col(locale_col).cast("string").alias("__locale"))
+    key = ["__text", "__alphabet", "__locale"]
+    out = "__text string, __alphabet string, __locale string, __n bigint, restored string, pairs array<string>, lost boolean, __weak boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, str], tuple | None] = {}
         for batch in batches:
-            k = len(keep)
-            rows, texts, alphabets, homes = [], batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), batch.column(k + 2).to_pylist()
-            got: list[tuple] = []
-            for r, key in enumerate(zip(texts, alphabets)):
-                if key not in seen:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    seen[key] = garbles(key[1]).label(key[0])
-                if seen[key]:
-                    rows.append(r)
-                    got.append(seen[key])
-            idx = pa.array(rows, pa.int64())
+            got = [garbles(alphabet).label(text) for text, alphabet in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [*(c.take(idx) for c in batch.columns[:k]), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.string())), pa.array([LOST in g[0] for g in got], pa.bool_()), pa.array([g[2] for g in got], pa.bool_()), batch.column(k).take(idx), batch.column(k + 2).take(idx)],
-                names=[*keep, "restored", "pairs", "lost", "__weak", "__text", "__home"],
+                [*batch.columns, pa.array([g and g[0] for g in got], pa.string()), pa.array([g and g[1] for g in got], pa.list_(pa.string())), pa.array([g and LOST in g[0] for g in got], pa.bool_()), pa.array([bool(g and g[2]) for g in got], pa.bool_())],
+                names=[*key, "__n", "restored", "pairs", "lost", "__weak"],
             )
 
-    found = src.mapInArrow(run, full)
-    # strings at home in many locales; their number of locales against that of all, one value
-    locales = values.agg(F.count_distinct(locale_col)).scalar()
-    share = F.when(F.length("__t") < 4, 0.5).otherwise(home_share)
-    everywhere = odd.groupBy(F.col(text_col).alias("__t")).agg(F.count_distinct(locale_col).alias("__n")).where((F.col("__n") > 1) & (F.col("__n") > share * locales)).select("__t")
-    common = everywhere.select(F.col("__t"), F.lit(True).alias("__common"))
-    judged = found.join(common, F.col("__weak") & (F.col("__text") == F.col("__t")), "left")
-    return judged.where("__common is null").drop("__weak", "__text", "__home", "__t", "__common")
+    labelled = spread(odd.groupBy(*key).agg(F.count("*").alias("__n"))).mapInArrow(run, out)
+    # a text has a row per locale and alphabet here, so the windows over texts are that small
+    totals = values.groupBy(F.col(locale_col).cast("string").alias("__l")).agg(F.count("*").alias("__rows"))
+    every = totals.agg(F.sum("__rows")).scalar()
+    text = Window.partitionBy("__text")
+    foreign = F.sum(F.when(F.col("__weak"), 0).otherwise(F.col("__n"))).over(text)
+    explained = F.sum(F.when(F.col("__weak"), F.col("__rows")).otherwise(0)).over(text)
+    expected = F.col("__rows") * F.col("__foreign") / F.nullif(every - F.col("__explained"), F.lit(0))
+    judged = (
+        labelled.join(totals, F.col("__locale").eqNullSafe(F.col("__l")))
+        .withColumn("__foreign", foreign)
+        .withColumn("__explained", explained)
+        .where(F.col("restored").isNotNull() & (~F.col("__weak") | (F.col("__n") > odds * F.coalesce(expected, F.lit(0.0)))))
+    )
+    # one row a key, so this neither adds nor drops rows
+    same = [F.col(f"__f{c}").eqNullSafe(F.col(c)) if c == "__locale" else F.col(f"__f{c}") == F.col(c) for c in key]
+    judged = judged.select(*[F.col(c).alias(f"__f{c}") for c in key], "restored", "pairs", "lost")
+    return odd.select(*keep, *key).join(judged, same).select(*keep, "restored", "pairs", "lost")
