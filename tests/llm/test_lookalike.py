@@ -2,7 +2,7 @@ import unicodedata
 
 import pytest
 
-from wordloom.llm.lookalike import LookAlikes, UnionFind, count_code_points, disguised_values, fit_lookalikes, plain_form
+from wordloom.llm.lookalike import LookAlikes, UnionFind, count_forms, disguised_values, fit_lookalikes, plain_form, skeletons
 
 DE = "".join(sorted("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZäöüÄÖÜß"))
 KV = "".join(sorted("абвгдежзиклмнопрстухцчшыэюяіӧАБВГДЕЖЗИКЛМНОПРСТУХЦЧШЫЭЮЯІӦ"))
@@ -53,10 +53,10 @@ def test_long(model):
 
 
 def test_counts(spark):
-    df = spark.createDataFrame([("aä", "de"), ("aä", "de"), (None, "de"), ("a", None), ("", "fr"), ("🚀a", "fr")], "text string, locale string")
-    got = {(r[0], chr(r[1])): r[2] for r in count_code_points(df).collect()}
-    assert got == {("de", "a"): 2, ("de", "ä"): 2, ("fr", "🚀"): 1, ("fr", "a"): 1}
-    assert count_code_points(df.limit(0)).count() == 0
+    df = spark.createDataFrame([("aä", "de"), ("aä", "de"), (None, "de"), ("a", None), ("", "fr"), ("🚀a", "fr"), ("e\u0301x\u0323\u0301", "nuk"), ("e\u0301", "nuk"), ("\u0301e", "nuk")], "text string, locale string")
+    got = {(r[0], r[1]): r[2] for r in count_forms(df).collect()}
+    assert got == {("de", "a"): 2, ("de", "ä"): 2, ("fr", "🚀"): 1, ("fr", "a"): 1, ("nuk", "e"): 3, ("nuk", "x"): 1, ("nuk", "\u0301"): 4, ("nuk", "\u0323"): 1, ("nuk", "e\u0301"): 2, ("nuk", "x\u0323\u0301"): 1}
+    assert count_forms(df.limit(0)).count() == 0
 
 
 def test_frames(spark, model):
@@ -68,6 +68,31 @@ def test_frames(spark, model):
     assert disguised_values(df.limit(0), model).count() == 0
 
 
+def test_skeletons_out_of_reach_are_an_error():
+    class NoSession:
+        @property
+        def _jvm(self):
+            raise AttributeError("no JVM")
+
+    with pytest.raises(RuntimeError):
+        skeletons(NoSession(), ["a"])
+
+
+def test_frequent_strings_represent():
+    """Of several strings of marks that look alike the more frequent one stands for all."""
+    nuk = {"nuk": "ax\u0323\u0331"}
+    for seen, want in (({"x\u0323": 9, "x\u0331": 2}, "x\u0323"), ({"x\u0323": 2, "x\u0331": 9}, "x\u0331")):
+        m = LookAlikes({"nuk": {"x": 11, "a": 1, "ẋ": 1, **seen}}, nuk, lambda chars: {})
+        m.classes = [["x\u0323", "x\u0331", "ẋ"]]
+        assert m._choose(frozenset(nuk["nuk"]), {"x": 11, **seen})["ẋ"] == want
+
+
+def test_many_rewritings_reach_a_fixed_point(model):
+    text = "a" + "\u200b\u0308" * 9 + "ｇ"
+    once = model.normal_form(text, "de")
+    assert once is None or model.normal_form(once, "de") == once
+
+
 def test_without_skeletons():
     m = LookAlikes({"de": {"a": 5}}, {"de": DE}, lambda chars: {})
     assert m.normal_form("ａ", "de") is None  # not in the counted text: no class

@@ -8,9 +8,12 @@
    ships) and of one case join each other.  Format characters are in the class of the
    empty string, blanks in that of the space, hyphens in that of the hyphen-minus.
 3. In each class the most frequent member that the locale can write is the
-   representative.  Two letters of the locale's own alphabet never become one.
+   representative; letters with combining marks are counted as strings for that.  One code
+   point goes before several, a letter that stays alike as a capital before one that does
+   not.  Two letters of the locale's own alphabet never become one.
 4. An Aho-Corasick automaton over the other members rewrites each value greedily,
-   longest match first, until nothing changes; the result is in NFC.
+   longest match first, until nothing changes (a form that comes back ends it too); the
+   result is in NFC.
 
 A word is written either in the letters of the locale or in basic Latin, so a word
 that mixes both is brought to the locale's letters if that works, else to Latin.
@@ -86,20 +89,22 @@ def plain_form(c: str) -> str | None:
 
 
 def skeletons(spark: SparkSession, chars: list[str]) -> dict[str, str]:
-    """Confusable skeleton of each letter, from the JVM's ICU; {} where it is out of reach."""
+    """Confusable skeleton of each letter, from the JVM's ICU.  Where that is out of reach
+    (a session without a JVM of its own) it is an error, as letters of other scripts would
+    lose their classes unseen; such sessions pass :func:`fit_lookalikes` a table of theirs."""
     try:
         checker = getattr(spark._jvm.com.ibm.icu.text.SpoofChecker, "Builder")().build()
         return {c: checker.getSkeleton(c) for c in chars}
-    except Exception:  # no JVM behind this session, or a Spark without ICU
-        return {}
+    except Exception as e:
+        raise RuntimeError("the confusable skeletons of Spark's ICU are out of reach; pass fit_lookalikes a skeleton function") from e
 
 
 class LookAlikes:
     """Classes and rewriting automata of every locale."""
 
     def __init__(self, counts: dict[str, dict[str, int]], alphabets: dict[str, str], skeleton: Callable[[list[str]], dict[str, str]]):
-        """``counts``: code points by locale; ``alphabets``: letters by locale."""
-        chars = sorted(set().union(*counts.values(), *alphabets.values(), ASCII_LETTERS))
+        """``counts``: code points, and letters with their marks, by locale; ``alphabets``: letters by locale."""
+        chars = sorted({c for x in (*counts.values(), *alphabets.values(), ASCII_LETTERS) for k in x for c in k})
         self.alphabets = {k: frozenset(v) for k, v in alphabets.items()}
         sets = UnionFind()
         for c in chars:
@@ -139,7 +144,7 @@ class LookAlikes:
                 if m not in able and m:
                     # a pair that stays alike as capitals goes before one that does not
                     alike = [x for x in able if self.look.get(x.upper(), x) == self.look.get(m.upper(), m)] or able
-                    out[m] = "" if "" in able else max(alike, key=lambda x: (seen.get(x, 0) if len(x) == 1 else 0, x.isascii(), -len(x), x))
+                    out[m] = "" if "" in able else max(alike, key=lambda x: (len(x) == 1, seen.get(x, 0), x.isascii(), -len(x), x))
         return out
 
     def __getstate__(self) -> dict:
@@ -160,15 +165,14 @@ class LookAlikes:
         a = self._automaton(locale, latin)
         if a is None:
             return unicodedata.normalize("NFC", text)
-        for _ in range(4):
+        known = set()
+        while text not in known:
+            known.add(text)
             out, at = [], 0
             for end, (size, new) in a.iter_long(text):
                 out += [text[at : end + 1 - size], new]
                 at = end + 1
-            new = unicodedata.normalize("NFC", "".join(out) + text[at:])
-            if new == text:
-                break
-            text = new
+            text = unicodedata.normalize("NFC", "".join(out) + text[at:])
         return text
 
     def normal_form(self, text: str, locale: str) -> str | None:
@@ -212,11 +216,20 @@ def _pieces(text: str) -> list[str]:
     return [*out, word] if word else out
 
 
-def count_code_points(values: DataFrame, *, text_col: str = "text", locale_col: str = "locale") -> DataFrame:
-    """(locale, code_point, n) over all values; partial counts are made before the shuffle."""
+@lru_cache(maxsize=1)
+def _marks() -> np.ndarray:
+    """Whether each code point is a combining mark."""
+    out = np.zeros(0x110000, bool)
+    out[[x for x in range(0x300, 0x1F000) if unicodedata.category(chr(x))[0] == "M"]] = True
+    return out
+
+
+def count_forms(values: DataFrame, *, text_col: str = "text", locale_col: str = "locale") -> DataFrame:
+    """(locale, form, n) over all values: every code point, and every character with the
+    combining marks after it as a string; partial counts are made before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, int], int] = defaultdict(int)
+        total: dict[tuple[str, str], int] = defaultdict(int)
         for batch in batches:
             batch = batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.is_valid(batch.column(1))))
             if not batch.num_rows:
@@ -224,30 +237,47 @@ def count_code_points(values: DataFrame, *, text_col: str = "text", locale_col:
             codes = pc.dictionary_encode(batch.column(0))
             names = codes.dictionary.to_pylist()
             sizes = pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            points = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+            text = "".join(batch.column(1).to_pylist())
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
             owner = np.repeat(codes.indices.to_numpy(zero_copy_only=False), sizes)
             small = points < 128
             n = np.bincount(owner[small] * 128 + points[small], minlength=128 * len(names))
             for k in np.flatnonzero(n).tolist():
-                total[names[k // 128], k % 128] += int(n[k])
+                total[names[k // 128], chr(k % 128)] += int(n[k])
             rest, n = np.unique(owner[~small].astype(np.int64) * 0x110000 + points[~small], return_counts=True)
             for k, m in zip(rest.tolist(), n.tolist()):
-                total[names[k // 0x110000], k % 0x110000] += m
+                total[names[k // 0x110000], chr(k % 0x110000)] += m
+            if small.all():
+                continue
+            # characters with marks after them, within one value
+            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])[sizes > 0]
+            mark = _marks()[points]
+            mark[first] = False
+            heads = np.flatnonzero(~mark & np.append(mark[1:], False))
+            ends = np.searchsorted(bases := np.append(np.flatnonzero(~mark), len(points)), heads, side="right")
+            for a, b in zip(heads.tolist(), bases[ends].tolist()):
+                total[names[owner[a]], text[a:b]] += 1
         keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k] for k in keys], pa.int64())], names=["locale", "code_point", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64())], names=["locale", "form", "n"])
+
+    part = values.select(F.col(locale_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, "locale string, form string, n bigint")
+    return part.groupBy("locale", "form").agg(F.sum("n").alias("n"))
+
 
-    part = values.select(F.col(locale_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, "locale string, code_point int, n bigint")
-    return part.groupBy("locale", "code_point").agg(F.sum("n").alias("n"))
+#: Most marks after a character in a counted string; no composed letter has more.
+MARKS = 3
 
 
-def fit_lookalikes(values: DataFrame, alphabets: DataFrame, *, text_col: str = "text", locale_col: str = "locale") -> LookAlikes:
+def fit_lookalikes(values: DataFrame, alphabets: DataFrame, *, text_col: str = "text", locale_col: str = "locale", skeleton: Callable[[list[str]], dict[str, str]] | None = None) -> LookAlikes:
     """Classes from the code points of all values.  What reaches the driver is one row
-    per locale and code point in use, and the letters per locale, whatever the rows."""
+    per locale and code point in use, or letter with up to ``MARKS`` marks, and the letters
+    per locale, whatever the rows.  ``skeleton``: confusable skeletons of letters, by
+    default those of Spark's own ICU."""
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for row in count_code_points(values, text_col=text_col, locale_col=locale_col).collect():
-        counts[row["locale"]][chr(row["code_point"])] = row["n"]
+    for row in count_forms(values, text_col=text_col, locale_col=locale_col).where(F.length("form") <= 1 + MARKS).collect():
+        counts[row["locale"]][row["form"]] = row["n"]
     letters = {r["locale"]: r["alphabet"] for r in alphabets.select("locale", "alphabet").distinct().collect() if r["locale"] is not None}
-    return LookAlikes(counts, letters, lambda chars: skeletons(values.sparkSession, chars))
+    return LookAlikes(counts, letters, skeleton or (lambda chars: skeletons(values.sparkSession, chars)))
 
 
 def disguised_values(values: DataFrame, model: LookAlikes, *, text_col: str = "text", locale_col: str = "locale", alphabet_col: str = "alphabet", keep: list[str] | None = None) -> DataFrame:
