@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,46 +170,57 @@ def refit_with_documents(model: PPM, samples: DataFrame, documents: DataFrame, *
     """Models that also know a bounded sample of labelled documents.
 
     Of each language the ``per_language`` documents with the least hash of their id
-    are taken, at most ``sample_bytes`` bytes of sentences each language.  A document
-    counts if the first models find its label in most of its sentences; of it, the
-    sentences count for which the labelled language is best or second best.
+    are taken, at most ``sample_bytes`` bytes of sentences each language (and document).
+    A document counts if the first models find its label in most of its sentences; of it,
+    the sentences count for which the labelled language is best or second best.
+
+    Two passes: one over ids and labels, which keeps the least hashes on the map side, one
+    over the chosen documents.  Executors cut the sentences out; only those are collected.
     """
     code = language_code(F.col(label_col))
-    pick = _least_hashes(documents.select(F.col(id_col).alias("id"), code.alias("code")), model.langs, per_language)
-    ids = sorted({(r["code"], r["id"]) for r in pick.collect()})
+    labelled = documents.select(F.col(id_col).alias("id"), code.alias("code")).where(F.col("code").isin(model.langs) & F.col("id").isNotNull())
+    place = F.row_number().over(Window.partitionBy("code").orderBy(F.xxhash64("id"), "id"))
+    wanted = {(r["code"], r["id"]) for r in labelled.withColumn("place", place).where(F.col("place") <= per_language).collect()}
     by: dict[str, list[str]] = {}
     for row in samples.select("lang", "sentence").where("length(lang) > 0 and length(sentence) > 0").collect():
         by.setdefault(row[0], []).append(row[1])
-    if ids:
-        rows = documents.where(F.col(id_col).isin([i for _, i in ids])).select(F.col(id_col).alias("id"), code.alias("code"), F.col(text_col).alias("text"))
-        wanted, used = set(ids), {k: 0 for k in model.langs}
-        for row in sorted((r for r in rows.toLocalIterator() if (r["code"], r["id"]) in wanted and r["text"]), key=lambda r: r["id"]):
-            l = model.langs.index(row["code"])
-            data = np.frombuffer(fold(b"\n" * 8 + _lowered(row["text"]).encode("utf-8", "replace") + b"\n" * 8), np.uint8)
-            starts, ends, whole = _segments(data)
-            if not whole.any():
-                continue
-            marks = np.unique(np.concatenate([starts, ends[ends < len(data)]]))
-            bits = model.code_lengths(data, marks)[np.searchsorted(marks, starts)]
-            rank = np.argsort(bits, axis=1)
-            if (rank[whole, 0] == l).mean() < 0.6:
-                continue
-            for j in np.flatnonzero(whole & ((rank[:, 0] == l) | (rank[:, 1] == l))):
-                other = bits[j, rank[j, 0]]
-                if bits[j, l] - other > 40 or used[row["code"]] > sample_bytes:
-                    continue
-                sentence = data[starts[j] : ends[j]].tobytes().decode("utf-8", "replace")
-                by.setdefault(row["code"], []).append(sentence)
-                used[row["code"]] += len(sentence)
+    if wanted:
+        chosen = documents.where(F.col(id_col).isin([i for _, i in wanted])).select(F.col(id_col).alias("id"), code.alias("code"), F.col(text_col).cast("string").alias("text")).where("length(text) > 0")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(i, c, _sure_sentences(model, t, model.langs.index(c), sample_bytes)) for i, c, t in zip(*(x.to_pylist() for x in batch.columns)) if (c, i) in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.column(0).type), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["id", "code", "sentences"])
+
+        schema = T.StructType([chosen.schema["id"], T.StructField("code", T.StringType()), T.StructField("sentences", T.ArrayType(T.StringType()))])
+        used = dict.fromkeys(model.langs, 0)
+        for row in sorted(chosen.mapInArrow(run, schema).collect(), key=lambda r: (r["id"], r["sentences"])):
+            for sentence in row["sentences"]:
+                if used[row["code"]] <= sample_bytes:
+                    by.setdefault(row["code"], []).append(sentence)
+                    used[row["code"]] += len(sentence)
     return PPM(by, model.order)
 
 
-def _least_hashes(labelled: DataFrame, langs: list[str], n: int) -> DataFrame:
-    """The n rows of each language with the least hashes: per-partition selection first."""
-    parts = [labelled.where(F.col("code") == code).orderBy(F.xxhash64("id"), "id").limit(n) for code in langs]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def _sure_sentences(model: PPM, text: str, lang: int, most: int) -> list[str]:
+    """The sentences of a labelled document that the models allow its language, up to
+    ``most`` bytes; none if they find another language in most of them."""
+    data = np.frombuffer(fold(b"\n" * 8 + _lowered(text).encode("utf-8", "replace") + b"\n" * 8), np.uint8)
+    starts, ends, whole = _segments(data)
+    if not whole.any():
+        return []
+    marks = np.unique(np.concatenate([starts, ends[ends < len(data)]]))
+    bits = model.code_lengths(data, marks)[np.searchsorted(marks, starts)]
+    rank = np.argsort(bits, axis=1)
+    if (rank[whole, 0] == lang).mean() < 0.6:
+        return []
+    out, used = [], 0
+    for j in np.flatnonzero(whole & ((rank[:, :2] == lang).any(axis=1))):
+        if bits[j, lang] - bits[j, rank[j, 0]] > 40 or used > most:
+            continue
+        sentence = data[starts[j] : ends[j]].tobytes()
+        out.append(sentence.decode("utf-8", "replace"))
+        used += len(sentence)
     return out
 
 

@@ -14,12 +14,13 @@ function of the n-gram alone: the trees of all languages are flattened into one
 hash table per order, and an n-gram that misses at one order adds the escapes of
 its context and is looked up one order lower.  Each distinct full-order n-gram
 of a text goes through that once; its costs are then kept in a memo, from which
-whole buffers are scored with array lookups.
+whole buffers are scored with array lookups.  Costs are doubles throughout: none is
+clipped or rounded.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
 
 import numpy as np
 
@@ -40,13 +41,13 @@ def fold(data: bytes) -> bytes:
 
 
 class _Table:
-    """Open-addressed map from 64-bit keys to rows, filled and looked up in bulk."""
+    """Open-addressed map from 64-bit keys to rows of doubles, filled and looked up in bulk."""
 
     def __init__(self, keys: np.ndarray, rows: np.ndarray, room: int = 0):
-        """``rows``: one row of uint64 a key; ``room``: keys that are to come."""
+        """``rows``: one row a key; ``room``: keys that are to come."""
         self.bits = max(10, int(np.ceil(np.log2((len(keys) + room + 1) * 2.5))))
-        self.data = np.zeros(((1 << self.bits) + 256, rows.shape[1] + 1), np.uint64)
-        self.data[:, 0] = _EMPTY
+        self.keys = np.full((1 << self.bits) + 256, _EMPTY, np.uint64)
+        self.rows = np.zeros((len(self.keys), rows.shape[1]))
         self.n, self.probes = 0, 1
         self.add(keys, rows)
 
@@ -59,11 +60,11 @@ class _Table:
         step = 0
         while len(todo):
             slot = at[todo] + step
-            free = np.flatnonzero(self.data[slot, 0] == _EMPTY)
+            free = np.flatnonzero(self.keys[slot] == _EMPTY)
             _, first = np.unique(slot[free], return_index=True)
             take = free[first]
-            self.data[slot[take], 0] = keys[todo[take]]
-            self.data[slot[take], 1:] = rows[todo[take]]
+            self.keys[slot[take]] = keys[todo[take]]
+            self.rows[slot[take]] = rows[todo[take]]
             stay = np.ones(len(todo), bool)
             stay[take] = False
             todo = todo[stay]
@@ -80,7 +81,7 @@ class _Table:
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The slot of each key, and which keys are absent (their slot is meaningless)."""
         at = self._home(keys)
-        there = self.data[:, 0][at]
+        there = self.keys[at]
         todo = np.flatnonzero(there != keys)
         if not len(todo):
             return at, todo
@@ -90,7 +91,7 @@ class _Table:
             if not len(todo):
                 break
             slot = at[todo] + step
-            there = self.data[slot, 0]
+            there = self.keys[slot]
             ok = there == keys[todo]
             at[todo[ok]] = slot[ok]
             absent.append(todo[there == _EMPTY])
@@ -99,6 +100,17 @@ class _Table:
         return at, np.concatenate(absent)
 
 
+def _grams(texts: list[str]) -> np.ndarray:
+    """The eight bytes that end at each byte of the texts (and at the newline after each),
+    the oldest lowest; what lies before a text is padding."""
+    data = np.frombuffer(b"".join(bytes([PAD]) * 8 + fold(t.encode()) + b"\n" for t in texts) or bytes(8), np.uint8)
+    words = np.ndarray((len(data) - 7,), np.uint64, data, 0, (1,))
+    sizes = np.array([len(t.encode()) + 9 for t in texts], np.int64)
+    place = np.arange(len(words)) + 7
+    begin = np.cumsum(sizes) - sizes
+    return words[place - np.repeat(begin, sizes)[7:] >= 8] if len(texts) else words[:0]
+
+
 class PPM:
     """Frozen byte-level PPM models of several languages, scored together."""
 
@@ -108,44 +120,30 @@ class PPM:
         if not 0 <= order <= 6:
             raise ValueError("order must be between 0 and 6")
         self.order, self.langs, self.memo_limit = order, sorted(samples), memo
+        self.key = uuid.uuid4().hex
         n_lang = len(self.langs)
-        # keys: the oldest byte lowest, the coded byte on top
-        counts = [[defaultdict(int) for _ in range(order + 1)] for _ in self.langs]
-        for l, lang in enumerate(self.langs):
-            for text in samples[lang]:
-                data = bytes([PAD]) * (order + 1) + fold(text.encode()) + b"\n"
-                for i in range(order + 1, len(data)):
-                    for k in range(order + 1):
-                        counts[l][k][int.from_bytes(data[i - k : i + 1], "little")] += 1
-        lower: dict[int, np.ndarray] = {}
+        grams = [_grams(samples[lang]) for lang in self.langs]
+        lower_keys, lower = np.zeros(1, np.uint64), np.full((1, n_lang), 8.0)
         self.cost, self.escape = [], []
         for k in range(order + 1):
-            mask = (1 << (8 * k)) - 1
-            total = [defaultdict(int) for _ in self.langs]
-            kinds = [defaultdict(int) for _ in self.langs]
-            for l in range(n_lang):
-                for key, n in counts[l][k].items():
-                    total[l][key & mask] += n
-                    kinds[l][key & mask] += 1
-            esc = {}
-            for c in sorted(set().union(*total)):
-                esc[c] = np.array([-np.log2(kinds[l][c] / (total[l][c] + kinds[l][c])) if total[l][c] else 0.0 for l in range(n_lang)])
-            here: dict[int, np.ndarray] = {}
-            for key in sorted(set().union(*(counts[l][k] for l in range(n_lang)))):
-                c = key & mask
-                row = (lower[key >> 8] if k else np.full(n_lang, 8.0)) + esc[c]
-                for l in range(n_lang):
-                    n = counts[l][k].get(key, 0)
-                    if n:
-                        row[l] = -np.log2(n / (total[l][c] + kinds[l][c]))
-                here[key] = row
-            lower = here
-            self.cost.append(self._mapped(here))
-            self.escape.append(self._mapped(esc))
-
-    def _mapped(self, rows: dict[int, np.ndarray]) -> _Table:
-        flat = np.array(list(rows.values()), np.float64).reshape(len(rows), len(self.langs))
-        return _Table(np.array(list(rows), np.uint64), flat.view(np.uint64))
+            # keys: the oldest byte lowest, the coded byte on top
+            counted = [np.unique(g >> np.uint64(8 * (7 - k)), return_counts=True) for g in grams]
+            keys = np.unique(np.concatenate([c[0] for c in counted] or [np.zeros(0, np.uint64)]))
+            n = np.zeros((len(keys), n_lang))
+            for l, (own, times) in enumerate(counted):
+                n[np.searchsorted(keys, own), l] = times
+            contexts, owner = np.unique(keys & np.uint64((1 << (8 * k)) - 1), return_inverse=True)
+            total, kinds = np.zeros((len(contexts), n_lang)), np.zeros((len(contexts), n_lang))
+            np.add.at(total, owner, n)
+            np.add.at(kinds, owner, n > 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+                seen = -np.log2(n / (total + kinds)[owner])
+            shorter = np.searchsorted(lower_keys, keys >> np.uint64(8)) if k else np.zeros(len(keys), np.int64)
+            cost = np.where(n > 0, seen, lower[shorter] + escape[owner])
+            self.cost.append(_Table(keys, cost))
+            self.escape.append(_Table(contexts, escape))
+            lower_keys, lower = keys, cost
 
     def costs(self, keys: np.ndarray) -> np.ndarray:
         """Bits of each full-order n-gram (key) in each language."""
@@ -156,28 +154,21 @@ class PPM:
             at, absent = self.cost[k].find(w)
             hit = np.ones(len(todo), bool)
             hit[absent] = False
-            out[todo[hit]] += self.cost[k].data[at[hit], 1:].view(np.float64)
+            out[todo[hit]] += self.cost[k].rows[at[hit]]
             todo, w = todo[~hit], w[~hit]
             at, absent = self.escape[k].find(w & np.uint64((1 << (8 * k)) - 1))
             seen = np.ones(len(todo), bool)
             seen[absent] = False
-            out[todo[seen]] += self.escape[k].data[at[seen], 1:].view(np.float64)
+            out[todo[seen]] += self.escape[k].rows[at[seen]]
             if k == 0:
                 out[todo] += 8.0
                 break
             k -= 1
         return out
 
-    def _packed(self, keys: np.ndarray) -> np.ndarray:
-        """Costs in 1/64 bits, three languages in a word, 21 binary places each."""
-        units = np.minimum(np.round(self.costs(keys) * 64), (1 << 11) - 1).astype(np.uint64)
-        words = np.zeros((len(keys), -(-len(self.langs) // 3)), np.uint64)
-        for l in range(len(self.langs)):
-            words[:, l // 3] |= units[:, l] << np.uint64(21 * (l % 3))
-        return words
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "memo"}
+    def __reduce__(self):
+        # a worker that has these models already keeps them, with the memo it has filled
+        return _restored, (self.key, {k: v for k, v in self.__dict__.items() if k != "memo"})
 
     def code_lengths(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Bits per segment and language.  ``data``: folded bytes, beginning with 8
@@ -186,7 +177,7 @@ class PPM:
         if not len(starts):
             return np.zeros((0, len(self.langs)))
         if getattr(self, "memo", None) is None:
-            self.memo = _Table(np.zeros(0, np.uint64), np.zeros((0, -(-len(self.langs) // 3)), np.uint64))
+            self.memo = _Table(np.zeros(0, np.uint64), np.zeros((0, len(self.langs))))
         # the eight bytes that end at each position, then those of the n-gram
         words = np.ndarray((len(data) - 8,), np.uint64, data, 1, (1,)) >> np.uint64(8 * (7 - self.order))
         at, absent = self.memo.find(words)
@@ -195,31 +186,26 @@ class PPM:
             new = np.unique(words[absent])
             fits = self.memo.n + len(new) <= self.memo_limit
             if fits and len(new) > self.memo.room:
-                used = self.memo.data[self.memo.data[:, 0] != _EMPTY]
-                self.memo = _Table(used[:, 0].copy(), used[:, 1:].copy(), 2 * (len(used) + len(new)))
+                used = self.memo.keys != _EMPTY
+                self.memo = _Table(self.memo.keys[used], self.memo.rows[used], 2 * (self.memo.n + len(new)))
             if fits:
-                self.memo.add(new, self._packed(new))
+                self.memo.add(new, self.costs(new))
                 at, absent = self.memo.find(words)
             if len(absent):
-                over = self._packed(new)[np.searchsorted(new, words[absent])]
-        rows = self.memo.data.take(at, axis=0)
+                over = self.costs(new)[np.searchsorted(new, words[absent])]
+        rows = self.memo.rows.take(at, axis=0)
         if over is not None:
-            rows[absent, 1:] = over
-        # a word holds the sums of up to 1024 bytes: longer segments are cut and summed again
-        begin = starts - 8
-        ends = np.append(begin[1:], len(words))
-        extra = np.maximum(0, (ends - begin - 1) // 1024)
-        if extra.any():
-            owner = np.repeat(np.arange(len(begin)), extra + 1)
-            nth = np.arange(len(owner)) - np.repeat(np.cumsum(extra + 1) - extra - 1, extra + 1)
-            cuts = begin[owner] + nth * 1024
-        else:
-            owner, cuts = None, begin
-        bits = np.empty((len(cuts), len(self.langs)))
-        for j in range(rows.shape[1] - 1):
-            sums = np.add.reduceat(rows[:, j + 1], cuts)
-            for l in range(3 * j, min(3 * j + 3, len(self.langs))):
-                bits[:, l] = ((sums >> np.uint64(21 * (l % 3))) & np.uint64((1 << 21) - 1)) / 64.0
-        if owner is not None:
-            bits = np.stack([np.bincount(owner, weights=bits[:, l], minlength=len(begin)) for l in range(len(self.langs))], axis=1)
-        return bits
+            rows[absent] = over
+        return np.add.reduceat(rows, starts - 8, axis=0)
+
+
+_KEPT: dict[str, PPM] = {}
+
+
+def _restored(key: str, state: dict) -> PPM:
+    if key not in _KEPT:
+        _KEPT.clear()
+        model = PPM.__new__(PPM)
+        model.__dict__.update(state)
+        _KEPT[key] = model
+    return _KEPT[key]
