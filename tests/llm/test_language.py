@@ -91,8 +91,8 @@ def test_frames(spark, model):
     main = {r["doc_id"]: r["main_lang"] for r in language.document_language(labelled).collect()}
     assert main[1] == "en" and main[4] is None
     assert language.label_spans(df.limit(0), model).count() == 0
-    codes = spark.createDataFrame([(x,) for x in ("EN", "en_US", "eng", " English ", "dut", "zh-Hans", "und", "", None, "Français")], "l string")
-    assert [r[0] for r in codes.select(language.language_code(F.col("l"))).collect()] == ["en", "en", "en", "en", "nl", "zh", None, None, None, "fr"]
+    codes = spark.createDataFrame([(x,) for x in ("EN", "en_US", "eng", " English ", "dut", "zh-Hans", "und", "", None, "Français", "it_IT", "x")], "l string")
+    assert [r[0] for r in codes.select(language.language_code(F.col("l"))).collect()] == ["en", "en", "en", "en", "nl", "zh", None, None, None, "fr", "it", None]
 
 
 def test_fitting(spark):
@@ -105,3 +105,32 @@ def test_fitting(spark):
     a, b = (x.code_lengths(probe, np.array([8]))[0] for x in (m, more))
     assert b[1] < a[1] and b[0] == pytest.approx(a[0])
     assert language.refit_with_documents(m, samples, docs.limit(0)).langs == m.langs
+
+
+def test_quoted_short_and_bracketed_sentences(model):
+    def langs(text):
+        return [(s["lang"], s["sentences"]) for s in list(language.score_texts(model, [text]))[0]]
+
+    assert langs("“The dog is sitting in the garden of the house.”") == [("en", 1)]
+    assert langs("The dog is in the garden of the house. «Die Katze sitzt auf der Matte und schaut.» The cat looks at the bird.") == [("en", 1), ("de", 1), ("en", 1)]
+    assert langs("Die Katze sitzt auf der Matte. The dog is running. Der Hund läuft durch den Garten.") == [("de", 1), ("en", 1), ("de", 1)]
+    assert langs("The children (see Fig. 3) are playing in the garden.") == [("en", 1)]
+    assert langs("(Die Katze sitzt auf der Matte und schaut.) The dog is running through the garden.") == [("de", 1), ("en", 1)]
+    # what breaks off in a bracket, and headings, are no sentences
+    assert langs("The dog of the house (Math.\nGarden of the house\n") == []
+
+
+def test_texts_without_a_sentence_have_a_language(spark, model):
+    rows = [(1, "The children are playing in the garden of the house with the dog and the bird"), (2, ""), (3, None), (4, "C50H49O22"), (5, "Die Katze sitzt auf der Matte. The")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in language.document_language(language.label_spans(df, model, overall=True)).collect()}
+    assert got[1]["spans"] == [] and got[1]["main_lang"] == "en" and 0.5 < got[1]["main_confidence"] <= 1
+    assert [got[i]["main_lang"] for i in (2, 3, 4, 5)] == [None, None, None, "de"]
+
+
+def test_shipped_models_keep_their_memo(model):
+    import pickle
+
+    list(language.score_texts(model, ["The dog is running through the garden."]))
+    a, b = pickle.loads(pickle.dumps(model)), pickle.loads(pickle.dumps(model))
+    assert a is b and a is not model

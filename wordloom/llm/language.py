@@ -7,7 +7,8 @@ and optionally from a bounded sample of labelled documents whose sentences the
 first models largely confirm.
 
 Nulls and empty texts, and texts without a sentence (formulas, headings, names),
-have no spans.  Rows are independent: repeated rows repeat their result.
+have no spans; a text without spans has a language over all its letters, if its codes
+differ enough.  Rows are independent: repeated rows repeat their result.
 """
 
 from __future__ import annotations
@@ -46,9 +47,14 @@ _OTHER_NAMES = {
     "zh": "zho chi cmn chinese 中文 汉语",
 }
 
-SENTENCE_BYTES = 24  # least bytes of letters in a sentence
-SENTENCE_BLANKS = 3  # least blanks in a sentence of a script that writes them
-MOST_BITS = 5.2  # a sentence coded worse than this, per byte, is in no known language
+SENTENCE_BYTES = 8  # least bytes of letters in a sentence
+SENTENCE_BLANKS = 2  # least blanks in a sentence of a script that writes them
+# Full stop and marks of full width; opening and closing quotation marks and brackets.
+_WIDE_STOPS = ("。".encode(), "！".encode(), "？".encode())
+_OPENING_2, _OPENING_3 = ("«".encode(),), tuple(c.encode() for c in "“„‘‹「『")
+_CLOSING_2 = ("»".encode(),)
+_CLOSING_3 = tuple(c.encode() for c in "”’“‘›」』）")
+MOST_BITS = 8.0  # a sentence that no model codes better than plain bytes is in no known language
 LEAST_MARGIN = 10.0  # bits by which the best code must beat the next
 TEMPER = 8.0  # bits of evidence that count as one: neighbouring bytes are not independent
 CHUNK = 1 << 20  # bytes of text scored at once
@@ -56,34 +62,62 @@ CHUNK = 1 << 20  # bytes of text scored at once
 
 def language_code(label: Column) -> Column:
     """Two-letter code of a label in any usual writing (``EN``, ``en_US``, ``eng``,
-    ``English``); a tag that names no known language, empty or null gives null."""
+    ``English``); of a language without models, a two-letter code is taken as it is.  Any
+    other label, empty or null gives null."""
     names = {n: code for code, other in _OTHER_NAMES.items() for n in [code, *other.split()]}
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     head = F.regexp_extract(F.lower(F.trim(label)), r"^([^-_ .@/]+)", 1)
-    return F.try_element_at(table, head)
+    return F.coalesce(F.try_element_at(table, head), F.when(head.rlike("^[a-z]{2}$"), head))
+
+
+def _sequence(data: np.ndarray, *sequences: bytes) -> np.ndarray:
+    """Where each byte belongs to one of the byte sequences (of one length)."""
+    size = len(sequences[0])
+    hit = np.zeros(len(data), bool)
+    last = np.flatnonzero(np.isin(data, [q[-1] for q in sequences]))
+    last = last[last >= size - 1]
+    for q in sequences:
+        ok = np.ones(len(last), bool)
+        for j, byte in enumerate(q):
+            ok &= data[last - size + 1 + j] == byte
+        for j in range(size):
+            hit[last[ok] - j] = True
+    return hit
 
 
 def _segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends of the sentence-like pieces of folded bytes (8 pad bytes first),
     and whether each is a whole sentence."""
-    nxt = np.append(data[1:], np.uint8(10))
-    stop = (data == 46) | (data == 33) | (data == 63)
-    # a mark ends a sentence before a blank, a line end, or a script without blanks
-    cut = (data == 10) | (stop & ((nxt == 32) | (nxt == 10) | ((nxt >= 0xE3) & (nxt <= 0xE9))))
-    # ideographic full stop E3 80 82, full-width marks EF BC 81 and EF BC 9F
-    last = np.flatnonzero((data == 0x82) | (data == 0x81) | (data == 0x9F))
-    a, b = data[last - 2], data[last - 1]
-    wide = last[((data[last] == 0x82) & (a == 0xE3) & (b == 0x80)) | ((data[last] != 0x82) & (a == 0xEF) & (b == 0xBC))]
-    cut[wide] = True
+    n = len(data)
+    wide = np.zeros(n, bool)
+    for q in _WIDE_STOPS:
+        at = np.flatnonzero(data[2:] == q[2]) + 2
+        wide[at[(data[at - 2] == q[0]) & (data[at - 1] == q[1])]] = True
+    stop = (data == 46) | (data == 33) | (data == 63) | wide
+    # closing quotation marks and brackets after a mark belong to its sentence
+    closing = (data == 34) | (data == 39) | (data == 41) | (data == 93) | _sequence(data, *_CLOSING_2) | _sequence(data, *_CLOSING_3)
+    open_end = np.append(np.flatnonzero(~closing), n)
+    marks = np.flatnonzero(stop)
+    after = open_end[np.searchsorted(open_end, marks + 1)]
+    follow = np.append(data, np.uint8(10))[after]
+    # a mark ends a sentence before a blank, a line end, or a script without blanks; after
+    # an abbreviation a number goes on (digits are folded to 0)
+    number = (follow == 32) & (np.append(data, [np.uint8(10)] * 2)[np.minimum(after + 1, n)] == 48) & (data[marks] == 46)
+    good = wide[marks] | (follow == 10) | ((follow == 32) & ~number) | ((follow >= 0xE3) & (follow <= 0xE9))
+    stopped = np.zeros(n, bool)
+    stopped[after[good] - 1] = True
+    dense_stop = np.zeros(n, bool)
+    dense_stop[after[wide[marks]] - 1] = True
+    cut = (data == 10) | stopped
     cut[:8] = False
     cut[7] = True
     cut[-1] = True
     ends = np.flatnonzero(cut)[1:] + 1
     starts = np.concatenate([[8], ends[:-1]])
-    # leave out the blanks before and the newlines after a piece
+    # leave out the blanks and opening quotation marks before a piece
     keep = ends > starts
     starts, ends = starts[keep], ends[keep]
-    lead = (data == 32) | (data == 10)
+    lead = (data == 32) | (data == 10) | (data == 34) | (data == 39) | _sequence(data, *_OPENING_2) | _sequence(data, *_OPENING_3)
     ahead = np.flatnonzero(~lead)
     pos = np.searchsorted(ahead, starts)
     starts = np.where(pos < len(ahead), ahead[np.minimum(pos, len(ahead) - 1)] if len(ahead) else starts, ends)
@@ -95,14 +129,16 @@ def _segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letters, blanks, high = run((data >= 97) & (data <= 122) | (data >= 128)), run(data == 32), run(data >= 0xE3)
     n_letters, n_blanks, n_high = (x[ends] - x[starts] for x in (letters, blanks, high))
     size = ends - starts
-    final = data[ends - 1]
-    ideographic = (final == 0x82) | (final == 0x81) | (final == 0x9F)
-    spaced = ((final == 46) | (final == 33) | (final == 63)) & (n_blanks >= SENTENCE_BLANKS)
-    dense = (ideographic | (final == 46) | (final == 33) | (final == 63)) & (n_high >= 5)
-    # a piece that opens with a quotation mark or bracket is a cited title
-    first, second = data[starts], data[np.minimum(starts + 1, len(data) - 1)]
-    cited = (first == 40) | (first == 34) | ((first == 91) & (second != 48)) | ((first == 0xC2) & (second == 0xAB)) | ((first == 0xE2) & (second == 0x80))
-    whole = (spaced | dense) & (n_letters >= SENTENCE_BYTES) & (n_letters * 2 > size) & ~cited
+
+    def unclosed(left: int, right: int) -> np.ndarray:
+        """Whether a bracket is opened last and not closed: the piece breaks off in it."""
+        place = np.arange(n)
+        last = lambda byte: np.maximum.accumulate(np.where(data == byte, place, -1))[ends - 1]
+        return last(left) >= np.maximum(starts, last(right) + 1)
+
+    spaced = stopped[ends - 1] & (n_blanks >= SENTENCE_BLANKS)
+    dense = (stopped | dense_stop)[ends - 1] & (n_high >= 5)
+    whole = (spaced | dense) & (n_letters >= SENTENCE_BYTES) & (n_letters * 2 > size) & ~unclosed(40, 41) & ~unclosed(91, 93)
     return starts, ends, whole
 
 
@@ -113,6 +149,11 @@ def _lowered(text: str) -> str:
 
 def score_texts(model: PPM, texts: list[str | None]) -> Iterator[list[dict]]:
     """The spans of each text, as dicts with the fields of ``SPANS``."""
+    return (spans for spans, _ in score_documents(model, texts))
+
+
+def score_documents(model: PPM, texts: list[str | None]) -> Iterator[tuple[list[dict], dict | None]]:
+    """The spans of each text, and its language as a whole (lang, confidence)."""
     gap = b"\n" * 8
     begin = 0
     while begin < len(texts):
@@ -127,22 +168,29 @@ def score_texts(model: PPM, texts: list[str | None]) -> Iterator[list[dict]]:
         begin = end
 
 
-def _score(model: PPM, data: np.ndarray, bounds: np.ndarray) -> Iterator[list[dict]]:
+def _decided(bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By row: the best language, whether it is sure enough, and how sure."""
+    order = np.argsort(bits, axis=1, kind="stable")
+    best = order[:, 0]
+    rows = np.arange(len(best))
+    low = bits[rows, best]
+    margin = bits[rows, order[:, 1]] - low if bits.shape[1] > 1 else np.full(len(best), np.inf)
+    sure = 1.0 / np.exp2(-(bits - low[:, None]) / TEMPER).sum(axis=1)
+    return best, (margin >= LEAST_MARGIN) & (low <= MOST_BITS * size) & (size > 0), sure
+
+
+def _score(model: PPM, data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[list[dict], dict | None]]:
     starts, ends, whole = _segments(data)
     found: list[list[dict]] = [[] for _ in range(len(bounds) - 1)]
+    overall: list[dict | None] = [None] * len(found)
     if len(starts) and model.langs:
         # pieces and the gaps between them alternate; only the pieces count
         marks = np.unique(np.concatenate([starts, ends[ends < len(data)]]))
         bits = model.code_lengths(data, marks)[np.searchsorted(marks, starts)]
-        order = np.argsort(bits, axis=1)
-        best = order[:, 0]
-        low = bits[np.arange(len(best)), best]
-        margin = bits[np.arange(len(best)), order[:, 1]] - low if bits.shape[1] > 1 else np.full(len(best), np.inf)
-        good = whole & (margin >= LEAST_MARGIN) & (low <= MOST_BITS * (ends - starts))
-        sure = 1.0 / np.exp2(-(bits - low[:, None]) / TEMPER).sum(axis=1)
+        best, good, sure = _decided(bits, ends - starts)
         chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         doc = np.searchsorted(bounds, starts, side="right") - 1
-        for j in np.flatnonzero(good).tolist():
+        for j in np.flatnonzero(whole & good).tolist():
             d = int(doc[j])
             base = chars[bounds[d]]
             spans, lang = found[d], model.langs[best[j]]
@@ -154,7 +202,12 @@ def _score(model: PPM, data: np.ndarray, bounds: np.ndarray) -> Iterator[list[di
                 last["end"], last["sentences"] = e, n + 1
             else:
                 spans.append({"start": s, "end": e, "lang": lang, "confidence": float(sure[j]), "sentences": 1})
-    yield from found
+        sums = np.zeros((len(found), len(model.langs)))
+        np.add.at(sums, doc, bits)
+        best, good, sure = _decided(sums, np.bincount(doc, weights=ends - starts, minlength=len(found)))
+        for d in np.flatnonzero(good).tolist():
+            overall[d] = {"lang": model.langs[best[d]], "confidence": float(sure[d])}
+    yield from zip(found, overall)
 
 
 def fit_languages(samples: DataFrame, order: int = 5) -> PPM:
@@ -224,17 +277,20 @@ def _sure_sentences(model: PPM, text: str, lang: int, most: int) -> list[str]:
     return out
 
 
-def label_spans(documents: DataFrame, model: PPM, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def label_spans(documents: DataFrame, model: PPM, *, text_col: str = "text", keep: list[str] | None = None, overall: bool = False) -> DataFrame:
     """One row per document: the columns ``keep`` and ``spans``, an array of
-    (start, end in code points, lang, confidence, sentences) in text order.
+    (start, end in code points, lang, confidence, sentences) in text order; with ``overall``
+    also the language of the text as a whole, struct<lang, confidence>, null if unsure.
 
     Runs map-side, without a shuffle.  The models travel with the tasks; their size
     is bounded by the bounded samples they were fitted on.  By default all columns are
-    kept but the text and any named ``spans``.  Without languages there are no spans.
+    kept but the text and any named like an output.  Without languages there are no spans.
     """
-    keep = keep if keep is not None else [c for c in documents.columns if c not in (text_col, "spans")]
+    outputs = ["spans", *(["overall"] if overall else [])]
+    keep = keep if keep is not None else [c for c in documents.columns if c not in (text_col, *outputs)]
     src = documents.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("spans", SPANS)])
+    whole = T.StructType([T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType())])
+    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("spans", SPANS)] + [T.StructField("overall", whole)] * overall)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("sentences", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +298,11 @@ def label_spans(documents: DataFrame, model: PPM, *, text_col: str = "text", kee
             texts = batch.column(len(keep))
             for at in range(0, max(1, batch.num_rows), 256):
                 part = batch.slice(at, 256)
-                spans = list(score_texts(model, texts.slice(at, 256).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(spans, spans_type)], names=[*keep, "spans"])
+                got = list(score_documents(model, texts.slice(at, 256).to_pylist()))
+                made = [pa.array([g[0] for g in got], spans_type)]
+                if overall:
+                    made.append(pa.array([g[1] for g in got], pa.struct([("lang", pa.string()), ("confidence", pa.float64())])))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*keep, *outputs])
 
     return src.mapInArrow(run, schema)
 
@@ -251,7 +310,8 @@ def label_spans(documents: DataFrame, model: PPM, *, text_col: str = "text", kee
 def document_language(labelled: DataFrame) -> DataFrame:
     """Adds ``main_lang`` (of the most sentences; ties: first in the alphabet) and
     ``main_confidence`` (its share of sentences times its mean confidence) to the
-    result of :func:`label_spans`; null where there is no span."""
+    result of :func:`label_spans`.  Where there is no span they are those of the text as a
+    whole, if the result has them, else null."""
     total = F.expr("aggregate(spans, 0, (a, x) -> a + x.sentences)")
     per = F.expr(
         """transform(array_distinct(transform(spans, x -> x.lang)), l -> struct(
@@ -259,11 +319,12 @@ def document_language(labelled: DataFrame) -> DataFrame:
              aggregate(filter(spans, x -> x.lang = l), 0D, (a, x) -> a + x.sentences * x.confidence) as c))"""
     )
     best = F.expr("array_sort(__per, (a, b) -> case when a.n <> b.n then b.n - a.n when a.lang < b.lang then -1 when a.lang > b.lang then 1 else 0 end)")
+    spare = [F.col("overall.lang"), F.col("overall.confidence")] if "overall" in labelled.columns else [F.lit(None).cast("string"), F.lit(None).cast("double")]
     return (
         labelled.withColumn("__per", per)
         .withColumn("__best", F.get(best, F.lit(0)))
-        .withColumn("main_lang", F.col("__best.lang"))
-        .withColumn("main_confidence", F.col("__best.c") / F.nullif(total, F.lit(0)))
+        .withColumn("main_lang", F.coalesce("__best.lang", spare[0]))
+        .withColumn("main_confidence", F.coalesce(F.col("__best.c") / F.nullif(total, F.lit(0)), spare[1]))
         .drop("__per", "__best")
     )
 

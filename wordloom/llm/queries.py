@@ -163,12 +163,12 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
-def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+def _labelled(spark: SparkSession, sf: str, overall: bool = False) -> DataFrame:
     from .language import fit_languages, label_spans, refit_with_documents
 
     samples, documents = _read(spark, sf, "lang_samples"), _read(spark, sf, "documents")
     model = refit_with_documents(fit_languages(samples), samples, documents)
-    return label_spans(documents, model, keep=["doc_id", "lang"])
+    return label_spans(documents, model, keep=["doc_id", "lang"], overall=overall)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,7 +182,7 @@ def p8_languages(spark: SparkSession, sf: str) -> DataFrame:
     """Main language of each document with a confidence, and its stretches."""
     from .language import document_language
 
-    labelled = document_language(_labelled(spark, sf))
+    labelled = document_language(_labelled(spark, sf, overall=True))
     return labelled.select("doc_id", F.col("lang").alias("label"), "main_lang", "main_confidence", F.to_json("spans").alias("spans"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,18 +57,31 @@ def count_tokens(texts: list[str | None], vocabulary: str = DEFAULT_VOCABULARY)
     return [count(t) if t else 0 for t in texts]
 
 
+def _shipped(rows: DataFrame, vocabulary: str) -> str | None:
+    """Name under which executors find the file; None where the session has no context of
+    its own, and the path must be theirs too."""
+    try:
+        context = rows.sparkSession.sparkContext
+    except Exception:
+        return None
+    context.addFile(vocabulary)
+    return vocabulary.rsplit("/", 1)[-1]
+
+
 def with_tokens(rows: DataFrame, *, text_col: str = "text", out: str = "tokens", vocabulary: str = DEFAULT_VOCABULARY, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` and ``out``, the size of the text.  ``vocabulary`` must be
-    readable at that path on every executor.  By default all columns are kept but the
-    text and any named as ``out``; null and empty texts have size 0."""
+    """The columns ``keep`` and ``out``, the size of the text.  ``vocabulary`` is a path on
+    the driver's machine; Spark itself ships the file to the executors.  By default all
+    columns are kept but the text and any named as ``out``; null and empty texts have size 0."""
+    shipped = _shipped(rows, vocabulary)
     keep = keep if keep is not None else [c for c in rows.columns if c not in (text_col, out)]
     src = rows.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*keep).schema.fields] + [f"`{out}` bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = SparkFiles.get(shipped) if shipped else vocabulary
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(count_tokens(part.column(len(keep)).to_pylist(), vocabulary), pa.int64())], names=[*keep, out])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(count_tokens(part.column(len(keep)).to_pylist(), path), pa.int64())], names=[*keep, out])
 
     return src.mapInArrow(run, schema)
