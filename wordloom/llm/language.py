@@ -55,8 +55,11 @@ _OPENING_2, _OPENING_3 = ("«".encode(),), tuple(c.encode() for c in "“„‘
 _CLOSING_2 = ("»".encode(),)
 _CLOSING_3 = tuple(c.encode() for c in "”’“‘›」』）")
 MOST_BITS = 8.0  # a sentence that no model codes better than plain bytes is in no known language
+WELL_CODED = 5.2  # bits per byte up to which a sentence is in the models' own words; beyond,
+CLEAR_MARGIN = 2.0  # the best code must beat the next by so many bits per byte
 LEAST_MARGIN = 10.0  # bits by which the best code must beat the next
 TEMPER = 8.0  # bits of evidence that count as one: neighbouring bytes are not independent
+TOLERANCE = 40.0  # bits by which another language may code a sentence of a fitting document better
 CHUNK = 1 << 20  # bytes of text scored at once
 
 
@@ -100,10 +103,10 @@ def _segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     marks = np.flatnonzero(stop)
     after = open_end[np.searchsorted(open_end, marks + 1)]
     follow = np.append(data, np.uint8(10))[after]
-    # a mark ends a sentence before a blank, a line end, or a script without blanks; after
-    # an abbreviation a number goes on (digits are folded to 0)
+    # a mark ends a sentence before a blank, a line end, an opening bracket, or a script without
+    # blanks; after an abbreviation a number goes on (digits are folded to 0)
     number = (follow == 32) & (np.append(data, [np.uint8(10)] * 2)[np.minimum(after + 1, n)] == 48) & (data[marks] == 46)
-    good = wide[marks] | (follow == 10) | ((follow == 32) & ~number) | ((follow >= 0xE3) & (follow <= 0xE9))
+    good = wide[marks] | (follow == 10) | (follow == 40) | (follow == 91) | ((follow == 32) & ~number) | ((follow >= 0xE3) & (follow <= 0xE9))
     stopped = np.zeros(n, bool)
     stopped[after[good] - 1] = True
     dense_stop = np.zeros(n, bool)
@@ -176,7 +179,8 @@ def _decided(bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
     low = bits[rows, best]
     margin = bits[rows, order[:, 1]] - low if bits.shape[1] > 1 else np.full(len(best), np.inf)
     sure = 1.0 / np.exp2(-(bits - low[:, None]) / TEMPER).sum(axis=1)
-    return best, (margin >= LEAST_MARGIN) & (low <= MOST_BITS * size) & (size > 0), sure
+    clear = (low <= WELL_CODED * size) | (margin >= CLEAR_MARGIN * size)
+    return best, (margin >= LEAST_MARGIN) & clear & (low <= MOST_BITS * size) & (size > 0), sure
 
 
 def _score(model: PPM, data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[list[dict], dict | None]]:
@@ -240,9 +244,11 @@ def refit_with_documents(model: PPM, samples: DataFrame, documents: DataFrame, *
     if wanted:
         chosen = documents.where(F.col(id_col).isin([i for _, i in wanted])).select(F.col(id_col).alias("id"), code.alias("code"), F.col(text_col).cast("string").alias("text")).where("length(text) > 0")
 
+        tolerance = TOLERANCE
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(i, c, _sure_sentences(model, t, model.langs.index(c), sample_bytes)) for i, c, t in zip(*(x.to_pylist() for x in batch.columns)) if (c, i) in wanted]
+                rows = [(i, c, _sure_sentences(model, t, model.langs.index(c), sample_bytes, tolerance)) for i, c, t in zip(*(x.to_pylist() for x in batch.columns)) if (c, i) in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.column(0).type), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["id", "code", "sentences"])
 
         schema = T.StructType([chosen.schema["id"], T.StructField("code", T.StringType()), T.StructField("sentences", T.ArrayType(T.StringType()))])
@@ -255,7 +261,7 @@ def refit_with_documents(model: PPM, samples: DataFrame, documents: DataFrame, *
     return PPM(by, model.order)
 
 
-def _sure_sentences(model: PPM, text: str, lang: int, most: int) -> list[str]:
+def _sure_sentences(model: PPM, text: str, lang: int, most: int, tolerance: float) -> list[str]:
     """The sentences of a labelled document that the models allow its language, up to
     ``most`` bytes; none if they find another language in most of them."""
     data = np.frombuffer(fold(b"\n" * 8 + _lowered(text).encode("utf-8", "replace") + b"\n" * 8), np.uint8)
@@ -269,7 +275,7 @@ def _sure_sentences(model: PPM, text: str, lang: int, most: int) -> list[str]:
         return []
     out, used = [], 0
     for j in np.flatnonzero(whole & ((rank[:, :2] == lang).any(axis=1))):
-        if bits[j, lang] - bits[j, rank[j, 0]] > 40 or used > most:
+        if bits[j, lang] - bits[j, rank[j, 0]] > tolerance or used > most:
             continue
         sentence = data[starts[j] : ends[j]].tobytes()
         out.append(sentence.decode("utf-8", "replace"))
