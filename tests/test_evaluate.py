@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,7 +89,34 @@ def test_ranking(spark):
     assert {r["value"] for r in limited.collect()} == {"x"}
     hidden = spark.createDataFrame([("a", "a+N"), ("a", "a+Spell/NoSugg"), ("b", "b+Spell/NoSugg")], "value string, analysis string")
     assert {r["value"] for r in evaluate.without_hidden(df, hidden).collect()} == {"a"}
-    order = spark.createDataFrame([("p", "x", None, False, 5, 3), ("q", None, None, False, 1, 0), ("r", "x", 2, False, 9, 1)], "input string, expected string, position bigint, false_accept boolean, nanos bigint, distance bigint")
-    assert [r["input"] for r in evaluate.sort_report(order, "position").collect()][0] == "r"
-    assert [r["input"] for r in evaluate.sort_report(order, "time", ascending=False).collect()] == ["r", "p", "q"]
-    assert [r["input"] for r in evaluate.sort_report(order, "classification").collect()][-1] == "q"
+    order = spark.createDataFrame([("p", "x", None, False, 5, 3, 0), ("q", None, None, False, 1, 0, 4), ("r", "x", 2, False, 9, 1, 3), ("s", "x", None, True, None, None, 0), ("t", None, None, True, 7, 2, 0)], "input string, expected string, position bigint, false_accept boolean, nanos bigint, distance bigint, n_suggestions int")
+
+    def sort(mode, ascending=True):
+        return "".join(r["input"] for r in evaluate.sort_report(order, mode, ascending).collect())
+
+    assert sort("position") == "rqpst" and sort("position", False) == "pstqr"
+    assert sort("time") == "rtpqs" and sort("time", False) == "qptrs"
+    assert sort("classification") == "prqts" and sort("classification", False) == "stqpr"
+    assert sort("distance")[:4] == "qrtp"
+    placed = evaluate.place_in_report(order.withColumn("g", F.lit(1)), "classification", by=["g"], ties="input").collect()
+    assert {r["input"]: r["place"] for r in placed} == {"p": 1, "r": 2, "q": 3, "t": 4, "s": 5}
+
+
+def test_fastest_by_classes_of_times(spark):
+    rng = random.Random(3)
+    rows = [(g, "x", None, False, 0, rng.choice([None, 0, 5, 5, 1000, rng.randrange(10**9), int(rng.expovariate(1e-7))])) for g in ("a", "a", "a", "b", None) for _ in range(700)]
+    rows += [("a", "x", None, False, 0, 7_000_000)] * 3000 + [("c", "x", None, False, 0, 3)]
+    df = spark.createDataFrame(rows, "g string, expected string, position bigint, false_accept boolean, n_suggestions bigint, nanos bigint").repartition(5)
+    for r in evaluate.summarize(df, ["g"]).collect():
+        times = sorted(x[5] for x in rows if x[0] == r["g"] and x[5] is not None)
+        k = -(-len(times) * 95 // 100)
+        assert r["average_time_95pc"] == sum(times[:k]) // k and r["total_words"] == sum(x[0] == r["g"] for x in rows)
+
+
+def test_metrics_of_nothing_and_of_no_hits(spark):
+    s = spark.createDataFrame([(0, 2, 5, 1), (0, 0, 3, 0)], "true_positive bigint, false_accept bigint, true_negative bigint, false_negative bigint")
+    a, b = evaluate.classifier_metrics(s).collect()
+    assert (a["precision"], a["recall"], a["f_score"]) == (0.0, 0.0, 0.0) and b["precision"] is None and b["f_score"] is None and b["accuracy"] == 1.0
+    rows = spark.createDataFrame([("g", "x", None, False, 0)], "g string, expected string, position bigint, false_accept boolean, n_suggestions bigint")
+    m = evaluate.suggestion_metrics(rows, ["g"]).first()
+    assert (m["precision"], m["recall"], m["accuracy"], m["f_score"]) == (0.0, 0.0, 0.0, 0.0)

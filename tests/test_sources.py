@@ -2,12 +2,13 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests import automata
 from wordloom.model import IDENTITY, Fst, Reweighting, SpellerConfig
 from wordloom.operators.suggest import Speller
 from wordloom.sources import corpora, transducers
-from wordloom.sources.transducers import CorruptArchive, Metadata, Titled, UnsupportedArchive
+from wordloom.sources.transducers import Archive, CorruptArchive, Metadata, Titled, UnsupportedArchive
 
 INDEX = """<?xml version="1.0"?><hfstspeller dtdversion="1.0" hfstversion="3"><info><locale>se</locale><title>Test</title>
 <title xml:lang="en">Test (en)</title><description>d</description><producer>p</producer></info>
@@ -120,6 +121,60 @@ def test_writers(spark, tmp_path):
     results = spark.createDataFrame([(1, "b"), (1, "a")], "report_id bigint, input string")
     body = json.loads(corpora.report_json(results, summary, "report_id").first()["value"])
     assert body["summary"] == {"total_words": 3} and [r["input"] for r in body["results"]] == ["a", "b"]
-    for _ in range(2):
-        corpora.append_history(summary, str(tmp_path / "h"))
-    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "h")).count() == 2
+    times = spark.createDataFrame([(1, (5, 6), (7, 8))], "report_id bigint, start_timestamp struct<secs: bigint, subsec_nanos: int>, total_time struct<secs: bigint, subsec_nanos: int>")
+    body = json.loads(corpora.report_json(results, summary, "report_id", config='{"n-best": 10, "beam": null}', metadata='{"info": {"locale": "se"}}', times=times).first()["value"])
+    assert body["config"] == {"n-best": 10, "beam": None} and body["metadata"]["info"]["locale"] == "se"
+    assert body["start_timestamp"] == {"secs": 5, "subsec_nanos": 6} and body["total_time"]["secs"] == 7
+
+
+def test_history(spark, tmp_path):
+    summary = spark.createDataFrame([(3, 4, 5, 6, None)], "first_position bigint, top_five bigint, any_position bigint, no_suggestions bigint, only_wrong bigint")
+    for i in range(3):
+        corpora.append_history(corpora.history_lines(summary, git_id=f"g{i}", date="d", describe="v1"), str(tmp_path / "h"))
+    lines = sorted(x.replace(chr(34) * 2, "") for f in (tmp_path / "h").glob("part-*") for x in f.read_text("utf-8").splitlines())
+    assert lines == [*(f"g{i}\td\tv1\t3\t4\t5\t6\t" for i in range(3)), "\t".join(corpora.HISTORY)]
+
+
+def test_first_lines_quotes_and_formats(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("".join(f"w{i}\te{i}\n" for i in range(3000)), "utf-8")
+    assert [r["input"] for r in corpora.read_typos(spark, str(tmp_path / "t.tsv"), 40).collect()] == [f"w{i}" for i in range(40)]
+    (tmp_path / "q.tsv").write_text('"a ""b"""\t"c"\n"x\ty\n', "utf-8")
+    assert [tuple(r) for r in corpora.read_typos(spark, str(tmp_path / "q.tsv")).collect()] == [('a "b"', "c"), ('"x', "y")]
+    row = spark.createDataFrame([(0.12345, 61_500_000_000, 1_250_000_000)], "s double, a bigint, b bigint").select(corpora.per_cent(F.col("s")), corpora.human_time(F.col("a")), corpora.human_time(F.col("b"))).first()
+    assert tuple(row) == ("12.35", "1:1.500", "00:1.250")
+    s = spark.createDataFrame([("kat", 1, "cat", 5.0), ("kat", 2, "at", 6.0)], "word string, rank int, value string, weight double")
+    a = spark.createDataFrame([("cat", "cat+N", 1.0), ("cat", "cat+V", 0.5)], "word string, analysis string, weight double")
+    doc = json.loads(corpora.suggestion_json(s, a).first()["value"])
+    assert [x["value"] for x in doc["suggestions"]] == ["cat", "at"] and [x["analysis"] for x in doc["suggestions"][0]["combinedAnalysis"]] == ["cat+V", "cat+N"]
+
+
+def test_stored_archives(spark, tmp_path):
+    archive = Archive(automata.lexicon(), automata.mutator(), Metadata("se", [("en", "T")], None, "P", Titled("a.hfst", "general"), Titled("e.hfst")))
+    folder = transducers.write_archive(archive, tmp_path / "se.bhfst")
+    stored = transducers.open_stored(spark, str(folder))
+    assert stored.metadata.acceptor.id == "a.thfst" and sorted(stored.lexicon.arc_rows()) == sorted(transducers.open_archive(folder).lexicon.arc_rows())
+    info = transducers.archive_info(stored)
+    assert info["acceptor"]["states"] == len(automata.lexicon().states()) and info["metadata"]["info"]["locale"] == "se"
+    with pytest.raises(transducers.UnsupportedArchive):
+        transducers.open_stored(spark, "x.tar")
+    (tmp_path / "bad.bhfst").mkdir()
+    with pytest.raises(CorruptArchive):
+        transducers.open_archive(tmp_path / "bad.bhfst")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from wordloom.__main__ import main
+
+    folder = str(transducers.write_archive(Archive(automata.lexicon(), automata.mutator(), Metadata("se")), tmp_path / "se.bhfst"))
+    assert main(["suggest", "--archive", folder, "--json", "--statistics", "--n-best", "2", "kat", "cat"]) == 0
+    wrong, right = json.loads(capsys.readouterr().out)
+    assert not wrong["is_correct"] and wrong["suggestions"][0]["value"] == "cat" and len(wrong["suggestions"]) <= 2 and wrong["statistics"]["taken"] > 0 and right["suggestions"] == []
+    assert main(["suggest", "--archive", folder, "kat"]) == 0 and "Input: kat\t\t[INCORRECT]" in capsys.readouterr().out
+    assert main(["tokenize", "a-b c"]) == 0 and capsys.readouterr().out == '0\t"a-b"\n3\t" "\n4\t"c"\n'
+    assert main(["tokenize", "--words", "a-b  c"]) == 0 and capsys.readouterr().out == '0\t"a-b"\n5\t"c"\n'
+    (tmp_path / "t.tsv").write_text("kat\tcat\ncat\n", "utf-8")
+    code = main(["accuracy", "--archive", folder, "--json-output", str(tmp_path / "r.json"), "--threshold", "40", str(tmp_path / "t.tsv")])
+    report = json.loads((tmp_path / "r.json").read_text("utf-8"))
+    assert code == 0 and report["summary"]["total_words"] == 2 and report["config"]["n-best"] == 10 and report["results"][1]["time"]["subsec_nanos"] > 0
+    assert main(["accuracy", "--archive", folder, "--threshold", "60", str(tmp_path / "t.tsv")]) == 1
+    assert main(["info", folder]) == 0 and main(["info", str(tmp_path / "no.zip")]) == 2

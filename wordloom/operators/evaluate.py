@@ -7,15 +7,20 @@ was accepted, and where nothing was, that the correct word was rejected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from time import perf_counter_ns
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.case import case_variants
 from ..model import SpellerConfig
+from ..session import checkpointed, spread
 from .accept import check_words, is_correct_by_members
 from .rank import osa
 from .scan import suggest_from_list
-from .suggest import Speller, suggest_words
+from .suggest import _DETAILS, _NAMES, Speller, suggest_words
 
 
 def nanos(time: str) -> Column:
@@ -37,25 +42,44 @@ def classification(expected: Column, false_accept: Column) -> Column:
     return F.when(expected.isNull(), F.when(false_accept, "false_positive").otherwise("true_negative")).otherwise(F.when(false_accept, "false_negative").otherwise("true_positive"))
 
 
+def _fastest(results: DataFrame, by: list[str], time: str) -> DataFrame:
+    """(by..., __fast): mean of the fastest 95 % of the times of each group, rounded down.
+
+    The times of a group are counted in classes of a seven hundredth of their size, so the
+    windows run over classes, of which there are some ten thousands at most.  Only the class
+    in which the 95 % end is looked into, by its distinct times."""
+    timed = results.where(F.col(time).isNotNull()).select(*by, F.col(time).alias("__t"), F.floor(F.log(F.greatest(F.col(time), F.lit(0)) + 1) * 700).alias("__class"))
+    group = Window.partitionBy(*by)
+    classes = timed.groupBy(*by, "__class").agg(F.count("*").alias("__n"), F.sum("__t").alias("__sum"))
+    running = (
+        classes.withColumn("__upto", F.sum("__n").over(group.orderBy("__class")))
+        .withColumn("__below", F.sum("__sum").over(group.orderBy("__class")) - F.col("__sum"))
+        .withColumn("__wanted", F.ceil(F.sum("__n").over(group) * F.lit(95) / F.lit(100)))
+    )
+    edge = running.where((F.col("__upto") >= F.col("__wanted")) & (F.col("__upto") - F.col("__n") < F.col("__wanted")))
+    edge = edge.select(*[F.col(c).alias(f"__g_{c}") for c in by], F.col("__class").alias("__edge"), "__below", "__wanted", (F.col("__wanted") - F.col("__upto") + F.col("__n")).alias("__need"))
+    same = F.col("__class") == F.col("__edge")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+    values = timed.join(edge, same).groupBy(*by, "__t", "__below", "__wanted", "__need").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(group.orderBy("__t")) - F.col("__n")
+    taken = values.withColumn("__take", F.greatest(F.lit(0), F.least(F.col("__n"), F.col("__need") - before)))
+    return taken.groupBy(*by).agg(F.floor((F.first("__below") + F.sum(F.col("__take") * F.col("__t"))) / F.first("__wanted")).cast("bigint").alias("__fast"))
+
+
 def summarize(results: DataFrame, by: list[str], *, n_suggestions: str = "n_suggestions", time: str = "nanos") -> DataFrame:
     """One row per group: counts by outcome and position, lookup times, and means over
-    the corrected words.  Groups are as large as the corpus, so the mean of the fastest
-    95 % comes from ranks within a group, not from collected values.  Null times are
-    left out; a group without times has null times."""
+    the corrected words.  A group may hold a third of all rows: everything is aggregated
+    before it is shuffled, the mean of the fastest 95 % by classes of times.  Null times
+    are left out; a group without times has null times."""
     expected, position, fa = F.col("expected"), F.col("position"), F.col("false_accept")
     tp = expected.isNotNull() & ~fa
-    n = Window.partitionBy(*by)
-    ranked = (
-        results.withColumn("__timed", F.count(time).over(n))
-        .withColumn("__rank", F.row_number().over(n.orderBy(F.col(time).asc_nulls_last())))
-        .withColumn("__fast", (F.col("__rank") <= F.ceil(F.col("__timed") * F.lit(95) / F.lit(100))) & F.col(time).isNotNull())
-    )
 
     def count(cond: Column) -> Column:
         return F.count(F.when(cond, 1))
 
     found = position.isNotNull()
-    return ranked.groupBy(*by).agg(
+    counts = results.groupBy(*by).agg(
         F.count("*").alias("total_words"),
         count(tp & (position == 0)).alias("first_position"),
         count(tp & (position < 5)).alias("top_five"),
@@ -69,21 +93,31 @@ def summarize(results: DataFrame, by: list[str], *, n_suggestions: str = "n_sugg
         F.max(time).alias("slowest_lookup"),
         F.min(time).alias("fastest_lookup"),
         F.floor(F.sum(time) / F.count(time)).cast("bigint").alias("average_time"),
-        F.floor(F.sum(F.when(F.col("__fast"), F.col(time))) / F.count(F.when(F.col("__fast"), F.col(time)))).cast("bigint").alias("average_time_95pc"),
         F.avg(F.when(found, position + 1)).alias("average_position_of_correct"),
         F.avg(F.when(found, F.col(n_suggestions))).alias("average_suggestions_for_correct"),
     )
+    fast = _fastest(results, by, time).select(*[F.col(c).alias(f"__g_{c}") for c in by], F.col("__fast").alias("average_time_95pc"))
+    same = F.lit(True)
+    for c in by:
+        same = same & counts[c].eqNullSafe(F.col(f"__g_{c}"))
+    order = [c for c in counts.columns if not c.startswith("average_position") and not c.startswith("average_suggestions")]
+    return counts.join(fast, same, "left").select(*order, "average_time_95pc", "average_position_of_correct", "average_suggestions_for_correct")
+
+
+def _harmonic(precision: Column, recall: Column) -> Column:
+    """F of two shares; 0 if both are, null if one is null."""
+    return F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0)))
 
 
 def classifier_metrics(summary: DataFrame) -> DataFrame:
     """precision, recall, accuracy and F of finding faults; null where undefined."""
     tp, fp, tn, fn = (F.col(c) for c in ("true_positive", "false_accept", "true_negative", "false_negative"))
     precision, recall = F.try_divide(tp, tp + fp), F.try_divide(tp, tp + fn)
-    return summary.select("*", precision.alias("precision"), recall.alias("recall"), F.try_divide(tp + tn, tp + tn + fp + fn).alias("accuracy"), F.try_divide(2 * precision * recall, precision + recall).alias("f_score"))
+    return summary.select("*", precision.alias("precision"), recall.alias("recall"), F.try_divide(tp + tn, tp + tn + fp + fn).alias("accuracy"), _harmonic(precision, recall).alias("f_score"))
 
 
 def suggestion_metrics(results: DataFrame, by: list[str], *, n_suggestions: str = "n_suggestions") -> DataFrame:
-    """How good the suggestions are, over the faults found."""
+    """How good the suggestions are, over the faults found; shares of nothing are 0."""
     tp = results.where(F.col("expected").isNotNull() & ~F.col("false_accept"))
     hit, some = F.col("position").isNotNull(), F.col(n_suggestions) > 0
     out = tp.groupBy(*by).agg(
@@ -96,8 +130,8 @@ def suggestion_metrics(results: DataFrame, by: list[str], *, n_suggestions: str
         F.count(F.when(some, 1)).alias("with_suggestions"),
         F.sum(n_suggestions).alias("suggestions"),
     )
-    precision, recall = F.try_divide("any", "with_suggestions"), F.try_divide("any", "faults")
-    return out.select("*", precision.alias("precision"), recall.alias("recall"), F.try_divide("any", "suggestions").alias("accuracy"), F.try_divide(2 * precision * recall, precision + recall).alias("f_score"))
+    precision, recall, accuracy = (F.coalesce(F.try_divide("any", of), F.lit(0.0)) for of in ("with_suggestions", "faults", "suggestions"))
+    return out.select("*", precision.alias("precision"), recall.alias("recall"), accuracy.alias("accuracy"), _harmonic(precision, recall).alias("f_score"))
 
 
 def throughput(results: DataFrame, by: list[str], *, time: str = "nanos", wall: Column | None = None) -> DataFrame:
@@ -120,16 +154,29 @@ def passes_threshold(summary: DataFrame, threshold: float) -> DataFrame:
     return summary.withColumn("passed", F.coalesce(F.try_divide(F.col("top_five") * 100.0, F.col("total_words")) > threshold, F.lit(False)))
 
 
-#: Classes from worst to best.
-_CLASS_ORDER = ("false_negative", "false_positive", "true_positive", "true_negative")
+#: Classes from best to worst.
+_CLASS_ORDER = ("true_positive", "true_negative", "false_positive", "false_negative")
+
 
+def report_order(mode: str, ascending: bool = True, *, n_suggestions: str = "n_suggestions", time: str = "nanos") -> Column:
+    """Sort column of a report: by time (ascending: the slowest first), position (the best
+    first; then only wrong suggestions, then none at all), distance (the least first) or
+    classification (hits, correct words accepted, correct words rejected, misses)."""
+    kind = F.array_position(F.array(*[F.lit(c) for c in _CLASS_ORDER]), classification(F.col("expected"), F.col("false_accept")))
+    place = F.coalesce("position", F.when(F.col(n_suggestions) > 0, F.lit(2**62)).otherwise(F.lit(2**62 + 1)))
+    column = {"time": -F.col(time), "position": place, "distance": F.col("distance"), "classification": kind}[mode]
+    return column.asc_nulls_last() if ascending else column.desc_nulls_last()
 
-def sort_report(results: DataFrame, mode: str, ascending: bool = True) -> DataFrame:
-    """Report order by time, position (not found last), distance or classification."""
-    kind = classification(F.col("expected"), F.col("false_accept"))
-    rank = F.array_position(F.array(*[F.lit(c) for c in _CLASS_ORDER]), kind)
-    column = {"time": F.col("nanos"), "position": F.coalesce(F.col("position"), F.lit(2**31)), "distance": F.col("distance"), "classification": rank}[mode]
-    return results.orderBy(column.asc() if ascending else column.desc(), "input")
+
+def sort_report(results: DataFrame, mode: str, ascending: bool = True, *, ties: str = "input") -> DataFrame:
+    """Results in the order of :func:`report_order`, equal ones by ``ties``."""
+    return results.orderBy(report_order(mode, ascending), ties)
+
+
+def place_in_report(results: DataFrame, mode: str, ascending: bool = True, *, by: list[str], ties: str = "result_id") -> DataFrame:
+    """Adds ``place``, from 1, of each result in its report (``by``) under that order.  A
+    report is one run of bounded size, whatever the corpus."""
+    return results.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(report_order(mode, ascending), ties)))
 
 
 def without_hidden(suggestions: DataFrame, analyses: DataFrame, *, value: str = "value", analysis: str = "analysis", hidden: str = "+Spell/NoSugg") -> DataFrame:
@@ -139,17 +186,45 @@ def without_hidden(suggestions: DataFrame, analyses: DataFrame, *, value: str =
     return suggestions.join(open_, F.col(value) == F.col("__value"), "left_semi")
 
 
-def evaluate(corpus: DataFrame, speller: Speller, config: SpellerConfig = SpellerConfig()) -> DataFrame:
+def evaluate(corpus: DataFrame, speller: Speller, config: SpellerConfig = SpellerConfig(), *, timed: bool = False) -> DataFrame:
     """Checks a corpus (input, expected or null): accepted or not, suggestions of rejected
     words, position of the expected one, edit distance.  Distinct words are looked up once.
-    A null input is checked as an empty word."""
+    A null input is checked as an empty word.  With ``timed``, every word is looked up alone
+    and ``nanos`` is how long its check and its suggestions took."""
     rows = corpus.withColumn("input", F.coalesce("input", F.lit("")))
+    if timed:
+        lookups = _timed_lookups(rows, speller, config)
+        found = lookups.select("input", F.explode("s").alias("s")).select("input", "s.*")
+        return _outcomes(rows, lookups.select("input", "is_correct"), found, ["input"]).join(lookups.select("input", "nanos"), "input", "left")
     checked = check_words(rows, speller.lexicon, column="input", config=config)
     wrong = checked.where("not is_correct")
     found = suggest_words(wrong, speller, column="input", config=config)
     return _outcomes(rows, checked, found, ["input"])
 
 
+_SUGGESTED = "array<struct<rank:int,value:string,weight:float,completed:boolean,weight_details:struct<lexicon_weight:float,mutator_weight:float,reweight_start:float,reweight_mid:float,reweight_end:float>>>"
+
+
+def _timed_lookups(rows: DataFrame, speller: Speller, config: SpellerConfig) -> DataFrame:
+    """(input, is_correct, s, nanos) of the distinct inputs.  Written to the checkpoint
+    folder, as a time is not the same when it is taken again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for word in batch.column(0).to_pylist():
+                began = perf_counter_ns()
+                correct = speller.is_correct(word, config)
+                given = [] if correct else speller.suggest(word, config)
+                took = perf_counter_ns() - began
+                out.append((correct, [{"rank": i, "value": s.value, "weight": s.weight, "completed": s.completed, "weight_details": dict(zip(_NAMES, s.details)) if s.details else None} for i, s in enumerate(given, 1)], took))
+            item = pa.struct([("rank", pa.int32()), ("value", pa.string()), ("weight", pa.float32()), ("completed", pa.bool_()), ("weight_details", _DETAILS)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in out], pa.bool_()), pa.array([r[1] for r in out], pa.list_(item)), pa.array([r[2] for r in out], pa.int64())], names=["input", "is_correct", "s", "nanos"])
+
+    todo = spread(rows.select(F.col("input").cast("string")).distinct())
+    return checkpointed(todo.mapInArrow(run, f"input string, is_correct boolean, s {_SUGGESTED}, nanos bigint"))
+
+
 def evaluate_from_list(corpus: DataFrame, entries: DataFrame, *, group: str, config: SpellerConfig = SpellerConfig()) -> DataFrame:
     """The same per group, with the entries (group, word, weight) as its lexicon and single
     edits as its error model; the lexicon may be of any size."""
@@ -164,7 +239,7 @@ def evaluate_from_list(corpus: DataFrame, entries: DataFrame, *, group: str, con
 def _outcomes(rows: DataFrame, checked: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
     listed = found.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rank", "value", "weight", "completed", "weight_details"))).alias("__s"))
     out = rows.join(checked, key, "left").join(listed, key, "left")
-    suggestions = F.when(F.col("is_correct") | F.col("__s").isNull(), F.array().cast("array<struct<rank:int,value:string,weight:float,completed:boolean,weight_details:struct<lexicon_weight:float,mutator_weight:float,reweight_start:float,reweight_mid:float,reweight_end:float>>>")).otherwise(F.col("__s"))
+    suggestions = F.when(F.col("is_correct") | F.col("__s").isNull(), F.array().cast(_SUGGESTED)).otherwise(F.col("__s"))
     place = F.array_position(F.transform(suggestions, lambda s: s["value"]), F.col("expected"))
     return out.select(
         *rows.columns,

@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Fst, GeneratorConfig, apply_flag
+from ..model import Fst, GeneratorConfig, apply_flag, tagged_lexicon
 from ..session import spread
 from .rank import clusters
+from .shards import aligned
 
 
 def generate(fst: Fst, lemma: str, config: GeneratorConfig = GeneratorConfig(), split=clusters) -> list[tuple[str, str, float]]:
@@ -70,3 +71,18 @@ def generate_forms(lemmas: DataFrame, fst: Fst, *, column: str = "lemma", config
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.float32())], names=[column, "surface", "analysis", "weight"])
 
     return spread(lemmas.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).distinct()).mapInArrow(run, f"`{column}` string, surface string, analysis string, weight float")
+
+
+def generate_by_parts(lemmas: DataFrame, *, tags, column: str = "lemma", config: GeneratorConfig = GeneratorConfig(), part_lemmas: int = 20_000) -> DataFrame:
+    """(lemma, surface, analysis, weight) of the distinct lemmas under a lexicon that knows
+    them all, with the paradigm ``tags`` (see :func:`..model.tagged_lexicon`).  Lemmas part by
+    hash, and each task builds the transducer of its part: any number of lemmas will do."""
+    entries = lemmas.select(F.lit("").alias("__all"), F.col(column).cast("string").alias("word"), F.lit(0.0).alias("weight")).where("length(word) > 0").distinct()
+
+    def work(part: dict[str, float], todo: list[str]) -> pa.Table:
+        fst = tagged_lexicon(part, tags, write=False)
+        rows = [(w, *r) for w in todo for r in generate(fst, w, config, list)]
+        return pa.table({n: pa.array([r[j] for r in rows], t) for j, (n, t) in enumerate([(column, pa.string()), ("surface", pa.string()), ("analysis", pa.string()), ("weight", pa.float32())])})
+
+    made = aligned(entries.select("__all", F.col("word").alias(column)), entries, group="__all", column=column, part="{word}", work=work, out=f"`{column}` string, surface string, analysis string, weight float", share_entries=part_lemmas)
+    return made.drop("__all")

@@ -1,8 +1,8 @@
 """The core's queries and the SQL that they are held against.
 
 Lexicons are made from the data: per locale, the distinct expected words, weighted by
-how rare they are.  Queries over lexicons of any size are joins; those that carry a
-lexicon to the executors (as a dictionary file is carried) check its size first.
+how rare they are.  Queries over them are joins, or kernels that get a shard of the lexicon
+and a handful of words by a shuffle; no lexicon is collected.
 """
 
 from __future__ import annotations
@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame, Window, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import case, text
-from ..model import Fst, Reweighting, SpellerConfig, edit_mutator, lexicon_from_words
+from ..model import Fst, Reweighting, SpellerConfig, edit_mutator, lexicon_from_words, tagged_lexicon
 from ..operators import accept, evaluate, flatten, generate, rank, scan, suggest
 
 FLAGSHIP = "suggest_one_edit"
-#: Most entries of a lexicon that is carried to the executors.
-CARRIED_ENTRIES = 1_000_000
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -138,7 +136,7 @@ def input_symbols(spark: SparkSession, sf: str) -> DataFrame:
     letters = symbols.where("kind in ('char', 'multichar')").groupBy("locale").agg(F.map_from_entries(F.collect_list(F.struct("key", "sym"))).alias("map"))
     unknown = symbols.where("kind = 'unknown'").groupBy("locale").agg(F.min("sym").alias("unknown"))
     rows = _words(spark, sf).join(letters.join(unknown, "locale"), "locale")
-    return rows.select("locale", "word", F.array_join(F.transform(F.split("word", ""), lambda c: F.coalesce(F.try_element_at("map", c), F.col("unknown")).cast("string")), " ").alias("symbols"))
+    return rows.select("locale", "word", F.array_join(F.transform(text.graphemes(F.col("word")), lambda c: F.coalesce(F.try_element_at("map", c), F.col("unknown")).cast("string")), " ").alias("symbols"))
 
 
 def symbol_translation(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,7 +147,7 @@ def symbol_translation(spark: SparkSession, sf: str) -> DataFrame:
     sizes = _read(spark, sf, "symbols").groupBy(F.col("locale").alias("lexicon")).agg((F.max("sym") + 1).alias("size"))
     locales = s.select(F.col("locale").alias("lexicon")).distinct()
     # pairs of settings tables: locales by letters, whatever the corpus
-    pairs = mutator.join(F.broadcast(locales), F.col("mutator") != F.col("lexicon")).join(sizes, "lexicon")
+    pairs = mutator.join(locales, F.col("mutator") != F.col("lexicon")).join(sizes, "lexicon")
     own = s.select(F.col("locale").alias("lexicon"), "key", F.col("sym").alias("lexicon_sym"))
     joined = pairs.join(own, ["lexicon", "key"], "left")
     missing = F.sum(F.when(F.col("lexicon_sym").isNull(), 1).otherwise(0)).over(Window.partitionBy("mutator", "lexicon").orderBy("mutator_sym"))
@@ -161,7 +159,7 @@ def unknown_output_domain(spark: SparkSession, sf: str) -> DataFrame:
     s = _read(spark, sf, "symbols")
     letters = s.where("kind in ('char', 'multichar')")
     lexicon = letters.select(F.col("locale").alias("lexicon"), "sym", "key")
-    pairs = lexicon.join(F.broadcast(s.select(F.col("locale").alias("mutator")).distinct()), F.col("mutator") != F.col("lexicon"))
+    pairs = lexicon.join(s.select(F.col("locale").alias("mutator")).distinct(), F.col("mutator") != F.col("lexicon"))
     return pairs.join(letters.select(F.col("locale").alias("mutator"), "key"), ["mutator", "key"], "left_anti").select("lexicon", "mutator", "sym", "key")
 
 
@@ -181,8 +179,6 @@ def _words(spark: SparkSession, sf: str) -> DataFrame:
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
     """(locale, word, n, weight) of the expected words."""
     counted = _localed(spark, sf).where("expected <> ''").groupBy("locale", F.col("expected").alias("word")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("locale"))
-    del total
     sums = counted.groupBy("locale").agg(F.sum("n").alias("total"))
     return counted.join(sums, "locale").select("locale", "word", "n", F.round(-F.log(F.col("n") / F.col("total")), 4).alias("weight"))
 
@@ -219,17 +215,6 @@ def distances_to_final(spark: SparkSession, sf: str) -> DataFrame:
     return accept.distances_to_final(_entries(spark, sf), group="locale")
 
 
-def carried_entries(entries: DataFrame, limit: int = CARRIED_ENTRIES) -> dict[str, dict[str, float]]:
-    """{locale: {word: weight}} of a lexicon, collected only if it has at most ``limit`` entries."""
-    n = entries.count()
-    if n > limit:
-        raise ValueError(f"{n} entries are too many to carry; use the joins (is_correct_by_members, edit_neighbours)")
-    out: dict[str, dict[str, float]] = {}
-    for r in entries.select("locale", "word", "weight").collect():
-        out.setdefault(r[0], {})[r[1]] = r[2]
-    return out
-
-
 def lexicon_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Weight of each distinct input word in its locale's lexicon, 0 if it is not there."""
     entries = _entries(spark, sf)
@@ -249,17 +234,144 @@ ONE_EDIT = SpellerConfig(n_best=None, max_weight=9.0, reweight=None, recase=Fals
 
 
 def suggest_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The same corrections by the best-first search over lexicon and error model."""
-    words = _words(spark, sf)
-    letters: dict[str, set[str]] = {}
-    alphabet = words.select("locale", F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct()
-    for r in alphabet.collect():  # bounded by the code points of Unicode
-        letters.setdefault(r[0], set()).add(r[1])
-    spellers = {}
-    for locale, entries in carried_entries(_entries(spark, sf)).items():
-        mutator = edit_mutator(sorted(letters.get(locale, set()) | {c for w in entries for c in w}))
-        spellers[locale] = suggest.Speller(lexicon_from_words(dict.fromkeys(entries, 0.0), split=list), mutator, split=list)
-    return suggest.search_words(words, spellers, group="locale", config=ONE_EDIT)
+    """The same corrections by the walk over lexicon and error model."""
+    entries = _entries(spark, sf).select("locale", "word", F.lit(0.0).alias("weight"))
+    return suggest.search_by_shards(_words(spark, sf), entries, group="locale", config=ONE_EDIT)
+
+
+#: Casings, the five best, a beam, and details, of corrections one edit away.
+CASED = SpellerConfig(n_best=5, max_weight=9.5, beam=6.0, reweight=None, recase=True, verbose=True)
+
+
+def _light(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries whose weights are small against an edit."""
+    return _entries(spark, sf).select("locale", "word", (F.col("weight") / 100).alias("weight"))
+
+
+def suggest_cased(spark: SparkSession, sf: str) -> DataFrame:
+    """Corrections of every casing of a word, recased, merged, ranked and cut, with the
+    shares of lexicon and error model in their weight."""
+    found = suggest.suggest_by_shards(_words(spark, sf), _light(spark, sf), group="locale", config=CASED)
+    return found.select("locale", "word", "rank", "value", "weight", "weight_details.lexicon_weight", "weight_details.mutator_weight")
+
+
+def _hidden_tags(word: str) -> list[tuple[str, str, float]]:
+    """Words of odd length are nouns; words of five letters or more are also names, hidden
+    from suggestions; short ones of even length are hidden altogether."""
+    tags = [("+Noun", "", 0.0)] if len(word) % 2 else []
+    return tags + ([("+Name+Spell/NoSugg", "", 0.25)] if len(word) >= 5 or not tags else [])
+
+
+def suggest_analyses(spark: SparkSession, sf: str) -> DataFrame:
+    """Corrections one edit away of small words that have an open analysis, with all their
+    analyses; other words have their results recased, which the analyser need not know."""
+
+    def build(entries: dict[str, float], letters: set[str]) -> suggest.Speller:
+        return suggest.Speller(tagged_lexicon(entries, _hidden_tags), edit_mutator(sorted(letters | {c for w in entries for c in w})), split=list)
+
+    config = SpellerConfig(n_best=None, max_weight=9.5, reweight=None, recase=False)
+    small = _words(spark, sf).where(~F.col("word").rlike(case.UPPER))
+    return suggest.analyze_suggest_by_shards(small, _light(spark, sf), group="locale", config=config, build=build)
+
+
+def _readings(word: str) -> list[tuple[str, str, float]]:
+    """Three readings a word, one of them twice with another weight."""
+    return [("+Noun", "", 0.0), ("+Verb", "", 0.5 if len(word) % 2 else 2.5), ("+Verb", "", 1.5), ("+Adverb", "", 1.0)]
+
+
+def word_analyses(spark: SparkSession, sf: str) -> DataFrame:
+    """The two lightest analyses of every input word that the lexicon reads."""
+    return accept.analyze_by_parts(_words(spark, sf), _light(spark, sf), group="locale", build=lambda own: tagged_lexicon(own, _readings), n_best=2)
+
+
+def check_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Input words that the walk over the lexicon accepts, as they are or in another casing."""
+
+    def check(own: dict[str, float], todo: list[str]) -> list[bool]:
+        lexicon = accept.Lexicon(lexicon_from_words(own, split=list), split=list)
+        return [lexicon.is_correct(w) for w in todo]
+
+    return accept.check_by_parts(_words(spark, sf), _entries(spark, sf), group="locale", check=check)
+
+
+#: Letters of a word before its flags.
+HEAD = 3
+#: What the head of a word sets and its tail demands, by kind: (operation, value).
+HEAD_FLAGS = (("C", 0), ("P", 1), ("P", 2), ("N", 1))
+TAIL_FLAGS = (("D", 0), ("R", 1), ("U", 2), ("D", 1))
+
+
+def _flagged(own: dict[str, float]) -> Fst:
+    """Heads and tails of the entries, any head with any tail that its flags allow."""
+    words = sorted(w for w in own if len(w) > HEAD)
+    letters = sorted({c for w in words for c in w})
+    keys = ["", *letters, *(f"@{'h' if i < 4 else 't'}{i}@" for i in range(8))]
+    number = {k: i for i, k in enumerate(keys)}
+    flags = {len(letters) + 1 + i: (op, 0, value) for i, (op, value) in enumerate((*HEAD_FLAGS, *TAIL_FLAGS))}
+    states: dict[tuple, int] = {("", None): 0}
+    arcs: set[tuple[int, int, int, int, float]] = set()
+
+    def state(key: tuple) -> int:
+        return states.setdefault(key, len(states))
+
+    def chain(at: tuple, letters: str) -> tuple:
+        for c in letters:
+            new = (at[0] + c, *at[1:])
+            arcs.add((state(at), number[c], number[c], state(new), 0.0))
+            at = new
+        return at
+
+    def flag(at: tuple, which: int, to: tuple) -> None:
+        arcs.add((state(at), len(letters) + 1 + which, 0, state(to), 0.0))
+
+    finals = {}
+    for w in words:
+        head, tail = w[:HEAD], w[HEAD:]
+        at = chain(("", None), head)
+        flag(at, len(w) % 4, (head, "set"))
+        kind = ord(w[-1]) % 4
+        flag((head, "set"), 4 + kind, (head, kind, "tail"))
+        finals[state(chain((head, kind, "tail"), tail))] = 0.0
+    return Fst(keys, sorted(arcs), finals, flags)
+
+
+def flag_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Input words whose head and tail the lexicon joins, as its flags allow."""
+
+    def check(own: dict[str, float], todo: list[str]) -> list[bool]:
+        lexicon = accept.Lexicon(_flagged(own), split=list)
+        return [lexicon.accepts(w) for w in todo]
+
+    return accept.check_by_parts(_words(spark, sf), _entries(spark, sf), group="locale", check=check, part=f"left({{word}}, {HEAD})")
+
+
+def wildcard_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Input words that are an entry but for the last letter, which must be none that
+    entries of the same head have: the lexicon reads it by its identity symbol."""
+
+    def check(own: dict[str, float], todo: list[str]) -> list[bool]:
+        parts: dict[str, list[str]] = {}
+        for w in own:
+            if len(w) > HEAD:
+                parts.setdefault(w[:HEAD], []).append(w[:-1])
+        made: dict[str, accept.Lexicon] = {}
+        answers = []
+        for w in todo:
+            head = w[:HEAD]
+            if head not in parts:
+                answers.append(False)
+                continue
+            if head not in made:
+                base = lexicon_from_words(dict.fromkeys(parts[head], 0.0), ["@_IDENTITY_SYMBOL_@"], split=list)
+                end = max(base.states()) + 1
+                wild = base.keys.index("@_IDENTITY_SYMBOL_@")
+                fst = Fst(base.keys, base.arc_rows() + [(s, wild, wild, end, 0.0) for s in base.finals], {end: 0.0})
+                letters = sorted({c for x in todo if x[:HEAD] == head for c in x})
+                made[head] = accept.Lexicon(fst, edit_mutator(letters), split=list)
+            answers.append(made[head].accepts(w))
+        return answers
+
+    return accept.check_by_parts(_words(spark, sf), _entries(spark, sf), group="locale", check=check, part=f"left({{word}}, {HEAD})")
 
 
 def suggest_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -307,17 +419,9 @@ PARADIGM = (("+Noun+Sg", ""), ("+Noun+Pl", "t"), ("+Verb", "n"))
 
 def generated_forms(spark: SparkSession, sf: str) -> DataFrame:
     """Forms of each distinct expected word, from a lexicon with a small paradigm."""
-    entries = carried_entries(_entries(spark, sf))
-    lemmas = sorted({w for ws in entries.values() for w in ws})
-    base = lexicon_from_words(dict.fromkeys(lemmas, 0.0), split=list)
-    tags = sorted({t for t, _ in PARADIGM} | {e for _, e in PARADIGM if e and e not in base.by_key})
-    keys = [*base.keys, *tags]
-    n = {k: i for i, k in reversed(list(enumerate(keys)))} | {"": 0}
-    end = max(base.states()) + 1
-    arcs = base.arc_rows() + [(s, n[t], n[e], end, 0.0) for s in base.finals for t, e in PARADIGM]
-    fst = Fst(keys, arcs, {end: 0.0})
-    words = _entries(spark, sf).select(F.col("word").alias("lemma"))
-    return generate.generate_forms(words, fst, split=list).select("lemma", "surface", "analysis")
+    lemmas = _entries(spark, sf).select(F.col("word").alias("lemma"))
+    forms = generate.generate_by_parts(lemmas, tags=lambda word: [(t, e, 0.0) for t, e in PARADIGM])
+    return forms.select("lemma", "surface", "analysis")
 
 
 def without_hidden(spark: SparkSession, sf: str) -> DataFrame:
@@ -380,6 +484,14 @@ def regression_rate(spark: SparkSession, sf: str) -> DataFrame:
     return rate.withColumn("rate", F.round("rate", 9))
 
 
+def sorted_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Place of every result in its report, by classification and by position."""
+    rows = _results(spark, sf)
+    placed = evaluate.place_in_report(rows, "classification", by=["report_id"]).withColumnRenamed("place", "by_class")
+    placed = evaluate.place_in_report(placed, "position", ascending=False, by=["report_id"])
+    return placed.select("report_id", "result_id", "by_class", F.col("place").alias("by_position"))
+
+
 def threshold_gate(spark: SparkSession, sf: str) -> DataFrame:
     s = evaluate.passes_threshold(evaluate.summarize(_results(spark, sf), ["report_id"]), 50.0)
     return s.select("report_id", "total_words", "top_five", "passed")
@@ -392,8 +504,8 @@ QUERIES = {
         tokens_by_lang, token_offsets, word_frequencies, cursor_context, case_classes, case_variants, grapheme_counts,
         input_symbols, symbol_translation, unknown_output_domain,
         lexicon_entries, lexicon_arcs, is_correct, unknown_rates, fst_accept, distances_to_final, lexicon_weights,
-        suggest_one_edit, suggest_search, suggest_words, suggestion_ranking, suggestion_limits, edit_distances, penalties, generated_forms, without_hidden,
-        evaluate_words, accuracy_summary, classifier_metrics, suggestion_metrics, classification_counts, throughput, regression_rate, threshold_gate,
+        suggest_one_edit, suggest_search, suggest_cased, suggest_analyses, word_analyses, check_words, flag_paths, wildcard_paths, suggest_words, suggestion_ranking, suggestion_limits, edit_distances, penalties, generated_forms, without_hidden,
+        evaluate_words, accuracy_summary, classifier_metrics, suggestion_metrics, classification_counts, throughput, regression_rate, sorted_report, threshold_gate,
     )
 }
 
@@ -464,8 +576,8 @@ case when s then r[2] else r[1] end as first_after, case when s then r[3] else r
     "case_classes": f"with src as (select distinct input as w from accuracy_results where input is not null) select w as input, class as case_class from ({_CLASSED})",
     "grapheme_counts": "select distinct input, length_grapheme(input) as graphemes, length(input) as code_points from accuracy_results where input is not null",
     "input_symbols": f"""with {_ENTRIES}, unk as (select locale, min(sym) as u from symbols where kind = 'unknown' group by locale),
-c as (select locale, word, unnest(range(1, length(word) + 1)) as i from words)
-select c.locale, word, string_agg(coalesce(s.sym, u)::varchar, ' ' order by i) as symbols from c join unk using (locale) left join symbols s on s.locale = c.locale and s.kind in ('char', 'multichar') and s.key = substr(word, i, 1) group by c.locale, word""",
+c as (select locale, word, unnest(range(1, length_grapheme(word) + 1)) as i from words)
+select c.locale, word, string_agg(coalesce(s.sym, u)::varchar, ' ' order by i) as symbols from c join unk using (locale) left join symbols s on s.locale = c.locale and s.kind in ('char', 'multichar') and s.key = substring_grapheme(word, i, 1) group by c.locale, word""",
     "symbol_translation": """with sizes as (select locale as lexicon, max(sym) + 1 as size from symbols group by locale),
 p as (select m.locale as mutator, l.lexicon, m.sym as mutator_sym, m.key, size from symbols m join sizes l on m.locale <> l.lexicon where m.kind in ('char', 'multichar')),
 j as (select p.*, s.sym as own from p left join symbols s on s.locale = p.lexicon and s.key = p.key and s.kind <> 'flag')
@@ -489,21 +601,34 @@ select result_id, rank as stored_rank, value from j where (weight <= best + 12::
     "threshold_gate": f"with {_RESULTS}, {_summary_sql('report_id')} select report_id, total_words, top_five, top_five * 100.0 / total_words > 50 as passed from summary",
     "classifier_metrics": f"""with {_RESULTS}, {_summary_sql('speller_id')}, m as (select speller_id, true_positive, false_accept, true_negative, false_negative,
 true_positive / nullif(true_positive + false_accept, 0) as p, true_positive / nullif(true_positive + false_negative, 0) as r, (true_positive + true_negative) / nullif(true_positive + true_negative + false_accept + false_negative, 0) as a from summary)
-select speller_id, true_positive, false_accept, true_negative, false_negative, round(p, 9) as precision, round(r, 9) as recall, round(a, 9) as accuracy, round(2 * p * r / nullif(p + r, 0), 9) as f_score from m""",
+select speller_id, true_positive, false_accept, true_negative, false_negative, round(p, 9) as precision, round(r, 9) as recall, round(a, 9) as accuracy, round(case when p + r = 0 then 0 else 2 * p * r / (p + r) end, 9) as f_score from m""",
     "suggestion_metrics": f"""with {_RESULTS}, m as (select speller_id, count(*) as faults, count(*) filter (position = 0) as first, count(*) filter (position < 5) as top_five, count(position) as "any",
 count(*) filter (position is null and n_suggestions = 0) as none, count(*) filter (position is null and n_suggestions > 0) as only_wrong, count(*) filter (n_suggestions > 0) as with_suggestions, sum(n_suggestions) as suggestions
-from results where expected is not null and not false_accept group by speller_id), q as (select *, "any" / nullif(with_suggestions, 0) as p, "any" / nullif(faults, 0) as r from m)
-select speller_id, faults, first, top_five, "any", none, only_wrong, with_suggestions, suggestions, round(p, 9) as precision, round(r, 9) as recall, round("any" / nullif(suggestions, 0), 9) as accuracy, round(2 * p * r / nullif(p + r, 0), 9) as f_score from q""",
+from results where expected is not null and not false_accept group by speller_id), q as (select *, coalesce("any" / nullif(with_suggestions, 0), 0) as p, coalesce("any" / nullif(faults, 0), 0) as r from m)
+select speller_id, faults, first, top_five, "any", none, only_wrong, with_suggestions, suggestions, round(p, 9) as precision, round(r, 9) as recall, round(coalesce("any" / nullif(suggestions, 0), 0), 9) as accuracy, round(case when p + r = 0 then 0 else 2 * p * r / (p + r) end, 9) as f_score from q""",
     "classification_counts": f"""with {_RESULTS} select speller_id, case when expected is null then case when false_accept then 'false_positive' else 'true_negative' end when false_accept then 'false_negative' else 'true_positive' end as class, count(*) as n from results group by all""",
+    "sorted_report": f"""with {_RESULTS}, k as (select *, case when expected is null then case when false_accept then 3 else 2 end when false_accept then 4 else 1 end as c, case when position is not null then 0 when n_suggestions > 0 then 1 else 2 end as g from results)
+select report_id, result_id, row_number() over (partition by report_id order by c, result_id) as by_class, row_number() over (partition by report_id order by g desc, position desc, result_id) as by_position from k""",
     "throughput": f"with {_RESULTS} select speller_id, count(*) as words, sum(nanos) as cpu_nanos, round(count(*) * 1e9 / nullif(sum(nanos), 0), 6) as words_per_cpu_second from results group by speller_id",
     "regression_rate": f"""with {_RESULTS}, e as (select speller_id, input, expected, count(*) as n, arg_min(struct_pack(p := position), result_id).p as a, arg_max(struct_pack(p := position), result_id).p as b from results where input is not null and expected is not null group by all having count(*) > 1)
 select count(*) as pairs, count(*) filter (a is distinct from b) as changed, round(count(*) filter (a is distinct from b) / count(*), 9) as rate, coalesce(count(*) filter (a is distinct from b) / count(*) < 0.5, false) as passed from e""",
 }
 
 
-def _raised_sql(w: str) -> str:
+_LIGHT = f"{_ENTRIES}, light as (select locale, word, weight / 100 as weight from entries)"
+
+
+def _upper_sql(x: str, kernel: bool = False) -> str:
+    """Capitals as the JVM has them: two for a sharp s, and one for a barred lambda, which
+    the ``kernel``'s older Unicode tables lack."""
+    plain = f"replace(upper({x}), '\u1e9e', 'SS')"
+    return plain if kernel else f"replace({plain}, '\u019b', '\ua7dc')"
+
+
+def _raised_sql(w: str, kernel: bool = False) -> str:
     a = case._ALPHABETIC
-    return f"case when regexp_matches({w}, '[{a}]') then regexp_extract({w}, '^[^{a}]*') || upper(regexp_extract({w}, '[{a}]')) || regexp_extract({w}, '(?s)^[^{a}]*[{a}](.*)$', 1) else {w} end"
+    first = _upper_sql(f"regexp_extract({w}, '[{a}]')", kernel)
+    return f"case when regexp_matches({w}, '[{a}]') then regexp_extract({w}, '^[^{a}]*') || {first} || regexp_extract({w}, '(?s)^[^{a}]*[{a}](.*)$', 1) else {w} end"
 
 
 _CHECKED = f"""{_ENTRIES}, src as (select locale, word as w from words), classed as ({_CLASSED}),
@@ -514,3 +639,42 @@ hits as (select distinct locale, w from (select locale, w, unnest(fs) as f from
 checked as (select src.locale, src.w as word, hits.w is not null or not regexp_matches(src.w, '\\p{{L}}') as is_correct from src left join hits on hits.locale = src.locale and hits.w = src.w)"""
 ORACLES["is_correct"] = f"with {_CHECKED} select locale, word, is_correct from checked"
 ORACLES["unknown_rates"] = f"with {_CHECKED} select speller_id, count(*) as words, count(*) filter (not is_correct) as unknown from localed l join checked c on c.locale = l.locale and c.word = l.input group by speller_id"
+ORACLES["check_words"] = ORACLES["is_correct"]
+_SMALL_OF = "lower(replace(w, 'Σ', 'σ'))"
+_RECASED = f"case mutation when 'all_caps' then {_upper_sql('f', True)} when 'first_caps' then {_raised_sql('f', True)} else f end"
+
+
+def _casings_sql(kernel: bool) -> str:
+    """Casings in order: what a word is looked up as, and how its results are recased."""
+    return f"""src as (select distinct locale, word as w from words), classed as ({_CLASSED}),
+forms as (select *, {_SMALL_OF} as small, {_raised_sql('w', kernel)} as raised from classed),
+modes as (select locale, w, class, case when class in ('all_upper', 'mostly_upper') then 'all_caps' when class = 'first_upper' or (class = 'mixed' and regexp_matches(regexp_extract(w, '{_CASED}'), '{_UP}')) then 'first_caps' else 'none' end as mutation,
+case when class = 'mixed' then case when length(regexp_replace(raised, '{_LOW}', '', 'g')) = length(raised) and length(raised) - length(regexp_replace(raised, '{_UP}', '', 'g')) >= 2 then [w, small] else [w, raised, small] end
+when class in ('all_upper', 'mostly_upper') then [w, {_raised_sql('small', kernel)}, small] else [w, small] end as tries from forms),
+tried as (select locale, w, class, mutation, t, min(i) as i from (select *, unnest(tries) as t, unnest(range(len(tries))) as i from modes) group by all)"""
+ORACLES["suggest_cased"] = f"""with {_LIGHT}, {_casings_sql(True)}, q as (select distinct locale, t as word from tried where t <> ''),
+{_NEIGHBOURS.replace('from words', 'from q').replace('join words w', 'join q w').replace('words w join', 'q w join')},
+hits as (select tried.*, b.value as f, b.weight::double as cost, light.weight as lex, b.weight::double + light.weight as total from tried join best b on b.locale = tried.locale and b.word = tried.t join light on light.locale = b.locale and light.word = b.value where b.weight::double + light.weight <= 9.5),
+near as (select * from (select *, min(total) over (partition by locale, w, t) as least, min(i) over (partition by locale, w) as first from hits) where total <= least + 6 and (class <> 'mixed' or i = first)),
+cased as (select locale, w, i, {_RECASED} as value, total, cost, lex from near),
+merged as (select * exclude rn from (select *, row_number() over (partition by locale, w, value order by total, i) as rn from cased) where rn = 1),
+ranked as (select *, row_number() over (partition by locale, w order by total, total - cost, value) as rank, min(total) over (partition by locale, w) as top from merged)
+select locale, w as word, rank, value, total::float as weight, lex::float as lexicon_weight, cost::float as mutator_weight from ranked where rank <= 5 and (total <= top + 6 or lower(value) = lower(w))"""
+ORACLES["suggest_analyses"] = f"""with {_LIGHT}, {_NEIGHBOURS}, open as (select best.locale, best.word, value, best.weight::double + light.weight as total, light.weight as lex from best join light on light.locale = best.locale and light.word = value where not regexp_matches(best.word, '{_UP}') and length(value) % 2 = 1 and best.weight::double + light.weight <= 9.5),
+ranked as (select *, dense_rank() over (partition by locale, word order by total::float, value) as rank from open)
+select locale, word, rank, value, total::float as weight, value || '+Noun' as analysis, lex::float as analysis_weight from ranked
+union all select locale, word, rank, value, total::float, value || '+Name+Spell/NoSugg', (lex + 0.25)::float from ranked where length(value) >= 5"""
+ORACLES["word_analyses"] = f"""with {_LIGHT}, r as (select words.locale, words.word, words.word || tag as analysis, weight + extra as w from words join light using (locale, word), (values ('+Noun', 0.0::double, 0.0::double), ('+Verb', 1.5, 0.5), ('+Adverb', 1.0, 1.0)) t(tag, even, odd), lateral (select case when length(words.word) % 2 = 1 then odd else even end as extra)),
+k as (select *, row_number() over (partition by locale, word order by w, analysis) as rank from r) select locale, word, rank, analysis, w::float as weight from k where rank <= 2"""
+#: What the operations come to: kind of head, kind of tail.
+_ALLOWED = "(values (0, 0), (0, 2), (0, 3), (1, 1), (2, 2), (2, 3), (3, 2), (3, 3)) ok(a, b)"
+_HEADS = f"long as (select locale, word, left(word, {HEAD}) as head, substr(word, {HEAD + 1}) as tail from entries where length(word) > {HEAD})"
+ORACLES["flag_paths"] = f"""with {_ENTRIES}, {_HEADS}, h as (select distinct locale, head, length(word) % 4 as a from long), t as (select distinct locale, head, tail, unicode(right(word, 1)) % 4 as b from long),
+yes as (select distinct h.locale, h.head || t.tail as word from h join t on t.locale = h.locale and t.head = h.head join {_ALLOWED} using (a, b))
+select words.locale, words.word, yes.word is not null as is_correct from words left join yes using (locale, word)"""
+ORACLES["wildcard_paths"] = f"""with {_ENTRIES}, {_HEADS}, p as (select distinct locale, head, left(word, length(word) - 1) as prefix from long), own as (select distinct locale, head, unnest(string_split(prefix, '')) as c from p)
+select locale, word, length(word) > {HEAD} and exists (select 1 from p where p.locale = w.locale and p.prefix = left(w.word, length(w.word) - 1) and p.head = left(w.word, {HEAD})) and not exists (select 1 from own where own.locale = w.locale and own.head = left(w.word, {HEAD}) and own.c = right(w.word, 1)) as is_correct from words w"""
+ORACLES["case_variants"] = f"""with words as (select distinct 'x' as locale, input as word from accuracy_results where input is not null), {_casings_sql(False)},
+v as (select w, mutation, class, case when class = 'mixed' then tries[2:len(tries) - 1] else tries[2:] end as vs from modes),
+u as (select w, mutation, unnest(vs) as variant, unnest(range(len(vs))) as ord from v), d as (select w, mutation, variant, min(ord) as o from u group by all)
+select w as input, mutation, row_number() over (partition by w order by o) - 1 as ord, variant from d"""

@@ -1,7 +1,8 @@
 """Readers and writers of transducer files, archives and their metadata.
 
 Files are decoded on the driver: they are dictionary resources whose size does not
-depend on the data.  A slot of the index table, or a state inside the transition table,
+depend on the data.  They may lie on this machine, or wherever Spark can read
+(:func:`open_stored`).  A slot of the index table, or a state inside the transition table,
 leads to a run of consecutive records with one input symbol; those are the arcs that
 exist, whatever else lies in the file.
 """
@@ -44,13 +45,21 @@ def _arcs(index: np.ndarray, transitions: np.ndarray, n_symbols: int, flags: set
     """Arcs and final weights of the states reachable from the start, numbered from 0."""
     number: dict[int, int] = {0: 0}
     todo, arcs, finals = [0], [], {}
+    reads, writes, targets, weights = (transitions[n].tolist() for n in ("in", "out", "target", "weight"))
+    # slots of the index that lead somewhere, with their symbols
+    slots = np.flatnonzero((index["sym"] != NO_SYMBOL) & (index["target"] != NO_TARGET))
+    slot_symbols, slot_targets = index["sym"][slots].astype(np.int64), index["target"][slots].tolist()
+    #: the state that a slot belongs to, if its symbol is right for its place
+    bounds = slots - 1 - slot_symbols
+    by_state = np.argsort(bounds, kind="stable")
+    owners = bounds[by_state]
 
     def run(at: int, want: set[int] | None) -> list[int]:
         """Records from ``at`` on: those of one input symbol, or all epsilons and flags."""
         out = []
         symbol = None
-        while at < len(transitions):
-            s = int(transitions["in"][at])
+        while at < len(reads):
+            s = reads[at]
             if s == NO_SYMBOL or (want is not None and s not in want) or (want is None and symbol is not None and s != symbol):
                 break
             symbol = s
@@ -64,38 +73,66 @@ def _arcs(index: np.ndarray, transitions: np.ndarray, n_symbols: int, flags: set
         records: list[int] = []
         if state >= TARGET_TABLE:
             at = state - TARGET_TABLE
-            if at >= len(transitions):
-                raise CorruptArchive(f"transition {at} of {len(transitions)}")
-            if int(transitions["in"][at]) == NO_SYMBOL and int(transitions["target"][at]) == 1:
-                finals[here] = float(transitions["weight"][at])
-            if at + 1 < len(transitions):
-                first = int(transitions["in"][at + 1])
+            if at >= len(reads):
+                raise CorruptArchive(f"transition {at} of {len(reads)}")
+            if reads[at] == NO_SYMBOL and targets[at] == 1:
+                finals[here] = weights[at]
+            if at + 1 < len(reads):
+                first = reads[at + 1]
                 records = run(at + 1, {0, *flags} if first == 0 or first in flags else {first})
         else:
             if state >= len(index):
                 raise CorruptArchive(f"state {state} of {len(index)}")
             if int(index["sym"][state]) == NO_SYMBOL and int(index["target"][state]) != NO_TARGET:
                 finals[here] = struct.unpack("<f", struct.pack("<I", int(index["target"][state])))[0]
-            for symbol in range(n_symbols):
-                slot = state + 1 + symbol
-                if slot < len(index) and int(index["sym"][slot]) == symbol and int(index["target"][slot]) != NO_TARGET:
-                    records += run(int(index["target"][slot]) - TARGET_TABLE, {0, *flags} if symbol == 0 else {symbol})
+            lo, hi = np.searchsorted(owners, [state, state + 1])
+            for slot in by_state[lo:hi].tolist():
+                symbol = int(slot_symbols[slot])
+                if symbol < n_symbols:
+                    records += run(slot_targets[slot] - TARGET_TABLE, {0, *flags} if symbol == 0 else {symbol})
         for r in dict.fromkeys(records):
-            target = int(transitions["target"][r])
+            target = targets[r]
             if target == NO_TARGET:
                 continue
             if target not in number:
                 number[target] = len(number)
                 todo.append(target)
-            arcs.append((here, int(transitions["in"][r]), int(transitions["out"][r]), number[target], float(transitions["weight"][r])))
+            arcs.append((here, reads[r], writes[r], number[target], weights[r]))
     return arcs, finals
 
 
+Files = dict[str, bytes]
+
+
+def _files(folder: str | Path) -> Files:
+    """The files of a local folder by their path in it."""
+    folder = Path(folder)
+    return {f.relative_to(folder).as_posix(): f.read_bytes() for f in sorted(folder.rglob("*")) if f.is_file()}
+
+
+def _within(files: Files, folder: str) -> Files:
+    return {name[len(folder) + 1 :]: data for name, data in files.items() if name.startswith(folder + "/")}
+
+
+def _decoded(files: Files) -> Fst:
+    """A transducer from the files of its folder, whole or in numbered parts."""
+
+    def joined(name: str) -> bytes:
+        if name in files:
+            return files[name]
+        parts = sorted((f for f in files if f.startswith(name + ".")), key=lambda f: int(f.rsplit(".", 1)[1]))
+        if not parts:
+            raise CorruptArchive(f"no {name} table")
+        return b"".join(files[f] for f in parts)
+
+    if "alphabet" not in files:
+        raise CorruptArchive("no alphabet")
+    return _thfst(json.loads(files["alphabet"].decode("utf-8")), joined("index"), joined("transition"))
+
+
 def read_thfst(folder: str | Path) -> Fst:
     """A folder with ``alphabet`` (JSON), ``index`` (8-byte rows) and ``transition``."""
-    folder = Path(folder)
-    alphabet = json.loads((folder / "alphabet").read_text("utf-8"))
-    return _thfst(alphabet, (folder / "index").read_bytes(), (folder / "transition").read_bytes())
+    return _decoded(_files(folder))
 
 
 def _table(data: bytes, dtype: np.dtype, what: str) -> np.ndarray:
@@ -118,13 +155,7 @@ def _thfst(alphabet: dict, index: bytes, transition: bytes) -> Fst:
 
 def read_thfst_chunks(folder: str | Path) -> Fst:
     """As :func:`read_thfst`, with tables in numbered parts (``index.0`` ...)."""
-    folder = Path(folder)
-
-    def joined(name: str) -> bytes:
-        parts = sorted(folder.glob(f"{name}.*"), key=lambda p: int(p.suffix[1:]))
-        return b"".join(p.read_bytes() for p in parts)
-
-    return _thfst(json.loads((folder / "alphabet").read_text("utf-8")), joined("index"), joined("transition"))
+    return _decoded(_files(folder))
 
 
 @dataclass
@@ -322,11 +353,28 @@ def open_archive(path: str | Path) -> Archive:
     if path.suffix == ".bhfst":
         if not path.is_dir():
             raise UnsupportedArchive(f"{path.name}: only unpacked .bhfst folders are supported")
-        meta = path / "meta.json"
-        return Archive(read_thfst(path / "acceptor.default.thfst"), read_thfst(path / "errmodel.default.thfst"), parse_metadata(meta.read_bytes()) if meta.exists() else None)
+        return _unpacked(_files(path))
     raise UnsupportedArchive(f"unsupported archive: {path.name}")
 
 
+def _unpacked(files: Files) -> Archive:
+    acceptor, errmodel = (_decoded(_within(files, f"{part}.default.thfst")) for part in ("acceptor", "errmodel"))
+    return Archive(acceptor, errmodel, parse_metadata(files["meta.json"]) if "meta.json" in files else None)
+
+
+def open_stored(spark, path: str) -> Archive:
+    """As :func:`open_archive`, from any file system that Spark reads: the files come as
+    binary rows."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    if name.endswith(".zhfst"):
+        row = spark.read.format("binaryFile").load(path).select("content").first()
+        return _open_zip(bytes(row[0]))
+    if name.endswith(".bhfst"):
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").collect()
+        return _unpacked({r["path"].rsplit(f"{name}/", 1)[1]: bytes(r["content"]) for r in rows})
+    raise UnsupportedArchive(f"unsupported archive: {name}")
+
+
 def _open_zip(data: bytes) -> Archive:
     try:
         with zipfile.ZipFile(BytesIO(data)) as z:
@@ -336,19 +384,32 @@ def _open_zip(data: bytes) -> Archive:
         raise CorruptArchive(f"the archive cannot be read: {e}") from e
 
 
-def convert_archive(source: str | Path, target: str | Path) -> Path:
-    """Turns a ``.zhfst`` into an unpacked ``.bhfst`` folder; ids are renamed to match."""
-    archive = open_archive(source)
+def write_archive(archive: Archive, target: str | Path) -> Path:
+    """Writes a lexicon and an error model as an unpacked ``.bhfst`` folder; ids in the
+    metadata are renamed to match."""
     target = Path(target)
     write_thfst(archive.lexicon, target / "acceptor.default.thfst")
     write_thfst(archive.mutator, target / "errmodel.default.thfst")
-    meta = archive.metadata or Metadata()
-    for part in (meta.acceptor, meta.errmodel):
-        part.id = part.id.replace(".hfst", ".thfst")
-    (target / "meta.json").write_text(json.dumps(meta.to_dict(), ensure_ascii=False, indent=2), "utf-8")
+    if archive.metadata is not None:
+        described = archive.metadata.to_dict()
+        for part in ("acceptor", "errmodel"):
+            described[part]["id"] = described[part]["id"].replace(".hfst", ".thfst")
+        (target / "meta.json").write_text(json.dumps(described, ensure_ascii=False, indent=2), "utf-8")
     return target
 
 
+def convert_archive(source: str | Path, target: str | Path) -> Path:
+    """Turns a ``.zhfst`` into an unpacked ``.bhfst`` folder."""
+    archive = open_archive(source)
+    return write_archive(Archive(archive.lexicon, archive.mutator, archive.metadata or Metadata()), target)
+
+
+def archive_info(archive: Archive) -> dict:
+    """What an archive holds: its metadata, and the size of both transducers."""
+    size = lambda f: {"symbols": len(f.keys), "flags": len(f.flags), "states": len(f.states()), "arcs": len(f.arc_rows()), "finals": len(f.finals)}
+    return {"metadata": archive.metadata.to_dict() if archive.metadata else None, "acceptor": size(archive.lexicon), "errmodel": size(archive.mutator)}
+
+
 def find_speller(tag: str, folders: list[str | Path]) -> Path | None:
     """The first installed archive of a language tag, unpacked before zipped."""
     for folder in map(Path, folders):
