@@ -107,6 +107,8 @@ def test_fastest_by_classes_of_times(spark):
     rows = [(g, "x", None, False, 0, rng.choice([None, 0, 5, 5, 1000, rng.randrange(10**9), int(rng.expovariate(1e-7))])) for g in ("a", "a", "a", "b", None) for _ in range(700)]
     rows += [("a", "x", None, False, 0, 7_000_000)] * 3000 + [("c", "x", None, False, 0, 3)]
     df = spark.createDataFrame(rows, "g string, expected string, position bigint, false_accept boolean, n_suggestions bigint, nanos bigint").repartition(5)
+    rows_of = lambda found: sorted(map(str, found.collect()))
+    assert rows_of(evaluate.summarize(df, ["g"])) == rows_of(evaluate.summarize(df, ["g"], small_groups=True))
     for r in evaluate.summarize(df, ["g"]).collect():
         times = sorted(x[5] for x in rows if x[0] == r["g"] and x[5] is not None)
         k = -(-len(times) * 95 // 100)

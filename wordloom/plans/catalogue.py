@@ -451,7 +451,7 @@ def evaluate_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def accuracy_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.summarize(_results(spark, sf), ["report_id"])
+    return evaluate.summarize(_results(spark, sf), ["report_id"], small_groups=True)
 
 
 def classifier_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -493,7 +493,7 @@ def sorted_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def threshold_gate(spark: SparkSession, sf: str) -> DataFrame:
-    s = evaluate.passes_threshold(evaluate.summarize(_results(spark, sf), ["report_id"]), 50.0)
+    s = evaluate.passes_threshold(evaluate.summarize(_results(spark, sf), ["report_id"], small_groups=True), 50.0)
     return s.select("report_id", "total_words", "top_five", "passed")
 
 
