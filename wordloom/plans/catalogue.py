@@ -7,8 +7,9 @@ and a handful of words by a shuffle; no lexicon is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import case, text
 from ..model import Fst, Reweighting, SpellerConfig, edit_mutator, lexicon_from_words, tagged_lexicon
@@ -678,3 +679,93 @@ ORACLES["case_variants"] = f"""with words as (select distinct 'x' as locale, inp
 v as (select w, mutation, class, case when class = 'mixed' then tries[2:len(tries) - 1] else tries[2:] end as vs from modes),
 u as (select w, mutation, unnest(vs) as variant, unnest(range(len(vs))) as ord from v), d as (select w, mutation, variant, min(ord) as o from u group by all)
 select w as input, mutation, row_number() over (partition by w order by o) - 1 as ord, variant from d"""
+
+
+def _opened_sql(x: str) -> str:
+    """A JSON string that holds JSON, as that."""
+    return f"case when json_type({x}) = 'VARCHAR' and json_valid(ltrim({x}->>'$', chr(65279))) then ltrim({x}->>'$', chr(65279))::json else {x} end"
+
+
+def _listed_sql(x: str) -> str:
+    return f"case json_type({x}) when 'ARRAY' then from_json({x}, '[\"json\"]') when 'OBJECT' then [{x}] else [] end"
+
+
+#: Reports of the raw records, out of their wrappers, by DuckDB's JSON functions: (raw_id, report_id, received_at, j).
+_RECORDS = f"""r0 as materialized (select raw_id, report_id, received_at, ltrim(body, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) as t from report_raw where body <> ''),
+r1 as materialized (select * exclude t, t::json as j from r0 where json_valid(t)),
+{", ".join(f"r{i} as materialized (select * exclude j, {_opened_sql('j')} as j from r{i - 1})" for i in (2, 3))},
+r4 as materialized (select * exclude j, case json_type(j) when 'ARRAY' then j->0 else coalesce(j->'report', j->'payload', j) end as j from r3),
+{", ".join(f"r{i} as materialized (select * exclude j, {_opened_sql('j')} as j from r{i - 1})" for i in (5, 6))},
+records as materialized (select * exclude rn from (select *, dense_rank() over (partition by report_id order by received_at nulls first, raw_id nulls first) as rn from r6 where json_type(j) = 'OBJECT') where rn = 1)"""
+_RESULTS_OF = f"""l1 as materialized (select report_id, {_opened_sql("j->'results'")} as l from records), l2 as materialized (select report_id, {_listed_sql('l')} as l from l1),
+e1 as materialized (select report_id, unnest(l) as e, unnest(range(len(l))) as results_no from l2), elements as materialized (select report_id, results_no, {_opened_sql('e')} as e from e1)"""
+_SUGGESTIONS_OF = f"""{_RESULTS_OF}, s1 as materialized (select report_id, results_no, {_opened_sql("e->'suggestions'")} as l from elements where json_type(e) = 'OBJECT'), s2 as materialized (select report_id, results_no, {_listed_sql('l')} as l from s1),
+g1 as materialized (select report_id, results_no, unnest(l) as g, unnest(range(len(l))) as suggestions_no from s2), given as materialized (select report_id, results_no, suggestions_no, {_opened_sql('g')} as g from g1)"""
+_DETAILS_OF = f"""{_SUGGESTIONS_OF}, d1 as materialized (select report_id, results_no, suggestions_no, coalesce(g->'weight_details', g->'weight-details', g->'weightDetails') as d from given where json_type(g) = 'OBJECT'),
+details as materialized (select report_id, results_no, suggestions_no, {_opened_sql('d')} as d from d1)"""
+
+
+def _number_sql(x: str, *names: str, kind: str = "double") -> str:
+    return f"try_cast(coalesce({', '.join(f'{x}->>{n!r}' for n in names)}) as {kind})"
+
+
+ORACLES["p5_found"] = f"with {_RECORDS.replace('where rn = 1', '')}, {_DETAILS_OF} select distinct report_id, results_no::int as result_no, suggestions_no::int as suggestion_no from details where json_type(d) = 'OBJECT'"
+ORACLES["p5_weight_details"] = f"""with {_RECORDS}, {_DETAILS_OF} select report_id, results_no::int as results_no, suggestions_no::int as suggestions_no, {', '.join(f"{_number_sql('d', n, n.replace('_', '-'), case_)} as {n}" for n, case_ in (("lexicon_weight", "lexiconWeight"), ("mutator_weight", "mutatorWeight"), ("reweight_start", "reweightStart"), ("reweight_mid", "reweightMid"), ("reweight_end", "reweightEnd")))} from details where json_type(d) = 'OBJECT'"""
+ORACLES["p5_suggestions"] = f"""with {_RECORDS}, {_SUGGESTIONS_OF} select report_id, results_no::int as results_no, suggestions_no::int as suggestions_no, g->>'value' as value, {_number_sql('g', 'weight')} as weight, {_number_sql('g', 'completed', kind='boolean')} as completed,
+{', '.join(f"{_number_sql('d', n, n.replace('_', '-'), case_)} as weight_details_{n}" for n, case_ in (("lexicon_weight", "lexiconWeight"), ("mutator_weight", "mutatorWeight"), ("reweight_start", "reweightStart"), ("reweight_mid", "reweightMid"), ("reweight_end", "reweightEnd")))}
+from (select *, coalesce(g->'weight_details', g->'weight-details', g->'weightDetails') as d0, {_opened_sql('d0')} as d from given where json_type(g) = 'OBJECT')"""
+ORACLES["p5_results"] = f"""with {_RECORDS}, {_RESULTS_OF} select report_id, results_no::int as results_no, e->>'input' as input, e->>'expected' as expected, {_number_sql('e', 'distance', kind='bigint')} as distance, {_number_sql('e', 'position', kind='bigint')} as position,
+{_number_sql('t', 'secs', kind='bigint')} as time_secs, {_number_sql('t', 'subsec_nanos', 'subsec-nanos', 'subsecNanos', kind='bigint')} as time_subsec_nanos, {_number_sql('e', 'false_accept', 'false-accept', 'falseAccept', kind='boolean')} as false_accept
+from (select *, {_opened_sql("(e->'time')")} as t from elements where json_type(e) = 'OBJECT')"""
+for _name, _path in (("p5_info_titles", "info"), ("p5_acceptor_titles", "acceptor"), ("p5_errmodel_titles", "errmodel")):
+    ORACLES[_name] = f"""with {_RECORDS}, m1 as materialized (select report_id, {_opened_sql("j->'metadata'")} as m from records), m2 as materialized (select report_id, {_opened_sql(f"m->'{_path}'")} as m from m1), m3 as materialized (select report_id, {_opened_sql("m->'title'")} as l from m2), m4 as materialized (select report_id, {_listed_sql('l')} as l from m3),
+t1 as materialized (select report_id, unnest(l) as e, unnest(range(len(l))) as title_no from m4) select report_id, title_no::int as title_no, e->>'lang' as lang, e->>'value' as value from (select report_id, title_no, {_opened_sql('e')} as e from t1) where json_type(e) = 'OBJECT'"""
+
+
+def _written(name: str) -> list[str]:
+    """The spellings of a field's name."""
+    first, *rest = name.split("_")
+    return list(dict.fromkeys([name, name.replace("_", "-"), first + "".join(w.title() for w in rest)]))
+
+
+def _member_sql(x: str, name: str, kind: T.DataType | None = None) -> str:
+    """A field of a JSON object: as JSON, or as its leaf's type."""
+    if kind is None:
+        return f"coalesce({', '.join(f'{x}->{n!r}' for n in _written(name))})"
+    sql = {"string": "varchar", "bigint": "bigint", "double": "double", "boolean": "boolean"}[kind.simpleString()]
+    return f"try_cast(coalesce({', '.join(f'{x}->>{n!r}' for n in _written(name))}) as {sql})"
+
+
+def _report_sql() -> str:
+    """One row per report: the objects of the record are opened level by level."""
+    steps, objects = [], [("", "j", flatten.REPORT)]
+    source, level = "records", 0
+    leaves: list[str] = []
+    while objects:
+        opened, inner = [], []
+        for path, column, struct in objects:
+            for f in struct.fields:
+                name = f"{path}_{f.name}" if path else f.name
+                if isinstance(f.dataType, T.StructType):
+                    opened.append(f"{_member_sql(column, f.name)} as r_{name}")
+                    inner.append((name, f"o_{name}", f.dataType))
+                elif not isinstance(f.dataType, T.ArrayType):
+                    leaves.append(f"{_member_sql(column, f.name, f.dataType)} as {name}")
+        if opened:
+            steps.append(f"a{level} as materialized (select *, {', '.join(opened)} from {source}), b{level} as materialized (select *, {', '.join(_opened_sql('r_' + n) + ' as o_' + n for n, _, _ in inner)} from a{level})")
+            source, level = f"b{level}", level + 1
+        objects = inner
+    return f"with {_RECORDS}, {', '.join(steps)} select report_id, {', '.join(leaves)} from {source}"
+
+
+ORACLES["p5_reports"] = _report_sql()
+#: Optimal string alignment over graphemes, row by row of the table of distances.
+ORACLES["edit_distances"] = """with recursive p as (select distinct input, expected from accuracy_results where input is not null and expected is not null),
+g as (select input, expected, [substring_grapheme(input, i::int, 1) for i in range(1, length_grapheme(input) + 1)] as a, [substring_grapheme(expected, i::int, 1) for i in range(1, length_grapheme(expected) + 1)] as b from p),
+t(input, expected, a, b, i, older, last) as (
+  select input, expected, a, b, 0, range(0, len(b) + 1), range(0, len(b) + 1) from g
+  union all
+  select input, expected, a, b, i + 1, last, list_reduce([[i + 1]] || [[j] for j in range(1, len(b) + 1)], lambda row, x: list_append(row, least(last[x[1] + 1] + 1, row[-1] + 1, last[x[1]] + case when a[i + 1] = b[x[1]] then 0 else 1 end,
+    case when i > 0 and x[1] > 1 and a[i + 1] = b[x[1] - 1] and a[i] = b[x[1]] then older[x[1] - 1] + 1 else 1000000 end)))
+  from t where i < len(a))
+select input, expected, last[-1]::int as distance from t where i = len(a)"""
