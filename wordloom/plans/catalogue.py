@@ -769,3 +769,37 @@ t(input, expected, a, b, i, older, last) as (
     case when i > 0 and x[1] > 1 and a[i + 1] = b[x[1] - 1] and a[i] = b[x[1]] then older[x[1] - 1] + 1 else 1000000 end)))
   from t where i < len(a))
 select input, expected, last[-1]::int as distance from t where i = len(a)"""
+#: Where two words differ, by the ways to set aside an element at their ends.
+ORACLES["penalties"] = r"""with recursive pairs as (select distinct i.input, s.value, s.weight_details.mutator_weight as mw from suggestions s join (select distinct result_id, input from accuracy_results) i using (result_id)),
+low as (select distinct coalesce(input, '') as s, coalesce(value, '') as v from pairs),
+g as (select s, v, [substring_grapheme(x, i::int, 1) for i in range(1, length_grapheme(x) + 1)] as a, [substring_grapheme(y, i::int, 1) for i in range(1, length_grapheme(y) + 1)] as b, substring_grapheme(s, 1, 1) as h1, substring_grapheme(v, 1, 1) as h2
+  from (select *, lower(regexp_replace(s, '(\p{L})Σ([^\p{L}]|$)', '\1ς\2', 'g')) as x, lower(regexp_replace(v, '(\p{L})Σ([^\p{L}]|$)', '\1ς\2', 'g')) as y from low)),
+cut(n, ha, hb, ta, tb) as (select row_number() over (order by h, t) as n, h // 2, h % 2, t // 2, t % 2 from range(4) x(h), range(4) y(t)),
+ways as (select s, v, n, ha, hb, ta, tb, len(a) as la, len(b) as lb, a, b, least(len(a) - ha, len(b) - hb) as m1, least(len(a) - ha - ta, len(b) - hb - tb) as m2 from g, cut
+  where (len(a) > 2 or len(b) > 2) and greatest(ha, ta) < len(a) and greatest(hb, tb) < len(b) and ha + ta < len(a) and hb + tb < len(b)),
+shared as (select s, v, n, ha, hb, ta, tb, coalesce(list_position([a[ha + i] = b[hb + i] for i in range(1, m1 + 1)], false) - 1, m1) as prefix, coalesce(list_position([a[la - ta - i] = b[lb - tb - i] for i in range(0, m2)], false) - 1, m2) as suffix from ways),
+best as (select s, v, arg_min(struct_pack(ha := ha, hb := hb, ta := ta, tb := tb, prefix := prefix, suffix := suffix), (-(prefix + suffix), n)) as w from shared where prefix + suffix > 0 group by s, v),
+chosen as (select g.*, coalesce(w.ha, 0) as ha, coalesce(w.hb, 0) as hb, coalesce(w.ta, 0) as ta, coalesce(w.tb, 0) as tb, coalesce(w.prefix, 0) as prefix, coalesce(w.suffix, 0) as suffix0, len(a) as la, len(b) as lb from g left join best using (s, v) where len(a) > 2 or len(b) > 2),
+spans as (select *, greatest(0, least(suffix0, least(la - ha - ta, lb - hb - tb) - prefix)) as suffix,
+  case when ha + hb = 0 then 0 when ha + hb = 1 then 1 when a[1] <> b[1] then 1 else 0 end as start0, case when ta + tb = 0 then 0 when ta + tb = 1 then 1 when a[-1] <> b[-1] then 1 else 0 end as end0 from chosen),
+rests as (select *, ha + prefix as lo1, la - ta - suffix as hi1, hb + prefix as lo2, lb - tb - suffix as hi2 from spans),
+rest as (select *, a[least(lo1, hi1) + 1:greatest(lo1, hi1)] as ra, b[least(lo2, hi2) + 1:greatest(lo2, hi2)] as rb, greatest(0, hi1 - lo1) as left1, greatest(0, hi2 - lo2) as left2 from rests),
+todo as (select distinct ra, rb from rest where left1 > 0 or left2 > 0),
+t(ra, rb, i, older, last) as (
+  select ra, rb, 0, range(0, len(rb) + 1), range(0, len(rb) + 1) from todo
+  union all
+  select ra, rb, i + 1, last, list_reduce([[i + 1]] || [[j] for j in range(1, len(rb) + 1)], lambda row, x: list_append(row, least(last[x[1] + 1] + 1, row[-1] + 1, last[x[1]] + case when ra[i + 1] = rb[x[1]] then 0 else 1 end,
+    case when i > 0 and x[1] > 1 and ra[i + 1] = rb[x[1] - 1] and ra[i] = rb[x[1]] then older[x[1] - 1] + 1 else 1000000 end)))
+  from t where i < len(ra)),
+osa as (select ra, rb, last[-1] as d from t where i = len(ra)),
+middle as (select rest.*, coalesce(d, 0) as d from rest left join osa on osa.ra = rest.ra and osa.rb = rest.rb and (left1 > 0 or left2 > 0)),
+placed as (select s, v, a, b, h1, h2, case when left1 + left2 = 0 then start0 when left1 <= 1 and left2 <= 1 and suffix = 0 then start0 when d > 0 and prefix = 0 and suffix > 0 then start0 + 1 else start0 end as st,
+  case when left1 + left2 = 0 then 0 when left1 <= 1 and left2 <= 1 and suffix = 0 then 0 when d > 0 and (prefix = 0) <> (suffix = 0) then d - 1 else d end as mi,
+  case when left1 + left2 = 0 then end0 when left1 <= 1 and left2 <= 1 and suffix = 0 then 1 when d > 0 and prefix > 0 and suffix = 0 then end0 + 1 else end0 end as en from middle),
+doubled as (select s, v, h1, h2, st, mi, en, len(a) > 0 and len(b) > 0 and a[1] = b[1] and (coalesce(a[1] = a[2], false) or coalesce(b[1] = b[2], false)) as first, len(a) > 0 and len(b) > 0 and a[-1] = b[-1] and ((len(a) > 1 and a[-1] = a[-2]) or (len(b) > 1 and b[-1] = b[-2])) as final from placed),
+long as (select s, v, h1, h2, case when st > 0 and first then 0 else st end as st, mi + case when st > 0 and first then st else 0 end + case when en > 0 and final then en else 0 end as mi, case when en > 0 and final then 0 else en end as en from doubled),
+short as (select s, v, h1, h2, case when len(a) = 0 and len(b) = 0 then 0 when len(a) > 0 and len(b) > 0 then (a[1] <> b[1])::int else 1 end as st, case when len(a) = 0 and len(b) = 0 then 0 else -1 end as mi, case when len(a) > 1 and len(b) > 1 then (a[-1] <> b[-1])::int else 0 end as en from g where len(a) <= 2 and len(b) <= 2),
+edits as (select s, v, case when st = 0 and h1 <> '' and h2 <> '' and h1 <> h2 and lower(h1) = lower(h2) then 1 else st end as st, mi, en from (select * from long union all select * from short))
+select input, value, mw as mutator_weight, case when free then 0 when st > 0 then 10 else 0 end::float as "start", case when free then 0 when mi >= 0 then 5 * mi else -1 end::float as mid, case when free then 0 when en > 0 then 10 else 0 end::float as "end",
+case when free or regexp_full_match(v, '[0-9#*]*') then 0 else case when st > 0 then 10 else 0 end + case when en > 0 then 10 else 0 end + 5 * greatest(mi, 0) end::float as total
+from (select *, coalesce(mw::double / nullif(st + greatest(mi, 0) + en, 0) < 5, false) as free from pairs join edits on edits.s = coalesce(input, '') and edits.v = coalesce(value, ''))"""
