@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import boundaries, case, text
 
+# Examples and what must come out.
 GOLDEN_CASE = [("IDENTITETE", "all_upper"), ("Identitete", "first_upper"), ("1heavvanit", "all_lower"), ("1Heavvanit", "first_upper"), ("1HEAVVANIT", "all_upper"), ("RÁðI", "mostly_upper"), ("SGPai", "mixed"), ("cAT", "mixed"), ("McDonald", "mixed"), ("DavveVássján", "mixed"), ("Ab", "first_upper"), ("AB", "all_upper"), ("A", "none"), ("MCDONALD", "all_upper"), ("123", "none"), ("", "none"), ("AaS", "mixed"), ("C", "none")]
 
 
@@ -57,6 +58,7 @@ def test_segments():
     assert [s for _, s in text.segments("a+b", "+")] == ["a+b"]
 
 
+# Examples and what must come out.
 CONTEXTS = [("hello ", "world foo", ("world", "hello", None, "foo", None)), ("one two three ", "four five six", ("four", "three", "two", "five", "six")), ("", "word", ("word", None, None, None, None)), ("hel", "lo there", ("hello", None, None, "there", None)), ("a ", " b", ("", "a", None, "b", None))]
 
 
